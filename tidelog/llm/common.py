@@ -33,8 +33,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """(offset, length) of runs of rows whose texts have at most ``most`` bytes together."""
+    import pyarrow.compute
+
     begin = held = 0
-    for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
+    for i, n in enumerate(pyarrow.compute.binary_length(texts).to_pylist()):
         n = n or 0
         if i > begin and held + n > most:
             yield begin, i - begin
@@ -49,34 +51,36 @@ def map_text(
     text: str,
     keep: Sequence[str],
     fields: Sequence[tuple[str, T.DataType]],
-    make: Callable[[], Callable[[list], Sequence]],
+    make: Callable[[], Callable[..., Sequence]],
+    also: Sequence[str] = (),
     rows: bool = False,
 ) -> DataFrame:
     """Columns computed from ``text`` beside those of ``keep``, by one Arrow pass without a shuffle.
 
-    ``make()`` is called once per partition and returns a function from a list of texts (with None) to one list
-    per field. With ``rows`` that function returns lists of any length and ``keep`` must be empty. A kept column
-    with the name of a new field gives way to the new one.
+    ``make()`` is called once per partition. It returns a function from a list of texts (with None), and a list for
+    each column of ``also``, to one list per field. With ``rows`` those lists may have any length and ``keep`` is
+    empty. A kept column with the name of a new field gives way to the new one.
     """
-    import pyarrow.compute  # noqa: F401  chunks() needs it on the executors
-
     new = {name for name, _ in fields}
     keep = [c for c in keep if c not in new]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, t) for n, t in fields])
-    # the text travels under a name of its own, so a kept column called like it is no trouble
-    sent = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    # what the function gets travels under names of its own, so kept columns may be called alike
+    sent = df.select(
+        *[F.col(f"`{c}`") for c in keep],
+        F.col(f"`{text}`").cast("string").alias("__text"),
+        *[F.col(f"`{c}`").alias(f"__also{i}") for i, c in enumerate(also)],
+    )
+    assert not (rows and keep)
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
         apply = make()
         for batch in batches:
-            texts = batch.column(len(keep))
-            for at, n in chunks(texts):
+            for at, n in chunks(batch.column(len(keep))):
                 part = batch.slice(at, n)
-                found = apply(part.column(len(keep)).to_pylist())
+                found = apply(*[part.column(len(keep) + i).to_pylist() for i in range(1 + len(also))])
                 cols = [part.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
                 cols += [pa.array(c, type=arrow.field(len(keep) + i).type) for i, c in enumerate(found)]
                 yield pa.RecordBatch.from_arrays(cols, names=arrow.names)
@@ -102,16 +106,17 @@ def hash_sample(df: DataFrame, key: str, label: str, most: int, max_labels: int
     return df.where(keep)
 
 
-def native_spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """All matches of a Java pattern as array<struct<s, e, m, g, left, right>>, by SQL functions only.
+def with_spans(df: DataFrame, text: str, out: str, pattern: str, valid: Callable[[Column], Column] | None = None, group: int = 0, context: int = 0) -> DataFrame:
+    """A column of all matches of a Java pattern: array<struct<s, e, m, g, left, right>>, by SQL functions only.
 
-    ``s`` and ``e`` are code points, the end exclusive; ``g`` is the group asked for; ``left`` and ``right`` are
-    the pieces of text between this match and its neighbours. Positions are running sums over the lengths of
-    pieces and matches, taken in blocks of 256 so that a text with very many matches stays cheap.
+    ``s`` and ``e`` are code points, the end exclusive; ``g`` is the group asked for; ``left`` and ``right`` are up
+    to ``context`` code points beside the match, as far as its neighbours of the same pattern. ``valid`` tells from
+    ``m`` and ``g`` which matches stay. Null texts have none. Positions are running sums over the lengths of the
+    pieces between matches and of the matches, in blocks of 256, so a text with very many matches stays cheap.
+    The steps are columns of their own: inside one expression the searches would run again and again.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    pieces = F.split(text, pattern, -1)
+    found, groups, pieces, blocks, starts = (F.col(f"__{out}_{x}") for x in ("m", "g", "p", "b", "a"))
+    n = F.size(found)
 
     def running(lengths: Column, start: Column) -> Column:
         return F.aggregate(
@@ -124,21 +129,39 @@ def native_spans(text: Column, pattern: str, group: int = 0) -> Column:
     def total(lengths: Column) -> Column:
         return F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
-    n = F.size(found)
-    lengths = F.zip_with(F.slice(pieces, 1, n), found, lambda p, m: (F.length(p) + F.length(m)).cast("bigint"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / F.lit(256)).cast("int")), lambda b: F.slice(lengths, b * 256 + 1, 256))
-    starts = running(F.transform(blocks, total), F.lit(0).cast("bigint"))
-    before = F.flatten(F.zip_with(blocks, starts, running))
-    spans = F.transform(
-        F.arrays_zip(before.alias("at"), F.slice(pieces, 1, n).alias("left"), found.alias("m"), groups.alias("g"), F.slice(pieces, 2, n).alias("right")),
-        lambda x: F.struct(
-            (x["at"] + F.length(x["left"])).alias("s"),
-            (x["at"] + F.length(x["left"]) + F.length(x["m"])).alias("e"),
+    def span(x: Column) -> Column:
+        return F.struct(
+            (x["at"] + F.length(x["l"])).alias("s"),
+            (x["at"] + F.length(x["l"]) + F.length(x["m"])).alias("e"),
             x["m"].alias("m"),
             x["g"].alias("g"),
-            x["left"].alias("left"),
-            x["right"].alias("right"),
-        ),
+            (F.right(x["l"], F.lit(context)) if context else F.lit("")).alias("left"),
+            (F.left(x["r"], F.lit(context)) if context else F.lit("")).alias("right"),
+        )
+
+    t = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumn(f"__{out}_m", F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    df = df.withColumn(f"__{out}_p", F.when(n > 0, F.split(t, pattern, -1)))
+    df = df.withColumn(f"__{out}_g", F.when(n > 0, F.regexp_extract_all(t, F.lit(pattern), F.lit(group))) if group else found)
+    lengths = F.zip_with(F.slice(pieces, 1, n), found, lambda p, m: (F.length(p) + F.length(m)).cast("bigint"))
+    df = df.withColumn(f"__{out}_l", F.when(n > 0, lengths))
+    chunk = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / F.lit(256)).cast("int")), lambda b: F.slice(F.col(f"__{out}_l"), b * 256 + 1, 256))
+    df = df.withColumn(f"__{out}_b", F.when(n > 0, chunk))
+    df = df.withColumn(f"__{out}_a", running(F.transform(blocks, total), F.lit(0).cast("bigint")))
+    zipped = F.arrays_zip(
+        F.flatten(F.zip_with(blocks, starts, running)).alias("at"),
+        F.slice(pieces, 1, n).alias("l"),
+        found.alias("m"),
+        groups.alias("g"),
+        F.slice(pieces, 2, n).alias("r"),
     )
+    if valid is not None:
+        zipped = F.filter(zipped, lambda x: valid(x))
     none = F.array().cast("array<struct<s:bigint,e:bigint,m:string,g:string,left:string,right:string>>")
-    return F.when(n > 0, spans).otherwise(none)
+    df = df.withColumn(out, F.when(n > 0, F.transform(zipped, span)).otherwise(none))
+    return df.drop(*[f"__{out}_{x}" for x in "mpglba"])
+
+
+def joined(spans: Column) -> Column:
+    """kind:start:end of an array of structs with these three fields, comma-joined in the array's order."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
