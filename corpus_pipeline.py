@@ -1,11 +1,73 @@
-"""The corpus pipeline: training-data operators in a row."""
+"""The corpus pipeline: language, near duplicates, benchmark leaks, personal data, tokens.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidelog.llm import bpe, decontam, jaccard, langid, pii
+from tidelog.llm.common import table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: null text, or no letter in it.
+
+    Ambiguous documents stay: a text in two languages is not unclean. The classifier learns from ``docs``.
+    """
+    found = langid.identify(docs, langid.train(langid.held_in(docs)), keep=tuple(docs.columns))
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents, the one with the least doc_id stays; documents without words stay.
+
+    Rows are told apart by doc_id and a hash of the text, so rows that share a doc_id but not a text are judged one
+    by one; of repeated rows one stays.
+    """
+    named = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__text": F.xxhash64("text")})
+    found = jaccard.similar(named.select("doc_id", "text", "__id", "__text"), keep=("__id", "__text"))
+    stays = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("__id", "__text").distinct()
+    kept = named.join(stays, ["__id", "__text"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("__id", "__text").orderBy(F.lit(0)))
+    return kept.withColumn("__first", first).where("__first = 1").select(docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of whose words a twentieth and more lies in benchmark windows."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), keep=tuple(docs.columns))
+    return found.where(~decontam.is_contaminated()).select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind in square brackets; n_chars follows the text."""
+    found = pii.extract(docs, keep=tuple(docs.columns))
+    found = found.withColumn("text", pii.redacted(F.col("text"), F.col("spans")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document: doc_id, n_tokens, their sums, and the ids as little-endian 32-bit integers."""
+    import public_tokenizers
+
+    return bpe.bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=("doc_id",), with_ids=True)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("personal_data", personal_data), ("tokens", tokens)]
+
+#: The stages learn, iterate and merge tokens: SQL can't express them; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        df = stage(spark, df, sf_dir)
-    return df
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to ``documents``; what a stage returns is checkpointed before the next one reads it."""
+    from tidelog.llm.common import durable
+
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,18 +1,21 @@
 """Queries of the training-data operators, as registered, and their SQL where SQL can express them."""
 
-from tidelog.llm import bpe, decontam, jaccard, langid, media, pii, secrets, toxicity
+from tidelog.llm import bpe, decontam, jaccard, langid, media, pii, secrets, toxicity, urls, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_secrets": secrets.op2_secrets,
     "op3_media": media.op3_media,
     "op4_bpe": bpe.op4_bpe,
+    "op5_revisits": warc.op5_revisits,
     "op6_decontaminate": decontam.op6_decontaminate,
     "op7_langid": langid.op7_langid,
+    "op8_urls": urls.op8_urls,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_revisits": warc.OP5_SQL,
     "op6_decontaminate": decontam.OP6_SQL,
     "op9_jaccard": jaccard.OP9_SQL,
 }
