@@ -66,12 +66,12 @@ def fit(x: np.ndarray, y: np.ndarray, k: int, steps: int = 200, rate: float = 4.
     code = code_matrix(k)
     if not code.shape[1]:
         return {"code": code, "w": np.zeros((x.shape[1], 0)), "b": np.zeros(0), "bit": np.zeros(0)}
-    target = code[y]
+    target = code[y].astype(np.float32)
     weight = (1.0 / np.maximum(np.bincount(y, minlength=k), 1))[y]
-    weight = (weight / weight.sum())[:, None]
-    w, b = np.zeros((x.shape[1], code.shape[1])), np.zeros(code.shape[1])
+    weight = (weight / weight.sum()).astype(np.float32)[:, None]
+    w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
-    x = x.astype(np.float64)
+    x = x.astype(np.float32)
     for _ in range(steps):
         g = -target * weight / (1 + np.exp(np.clip(target * (x @ w + b), -30, 30)))
         vw = 0.9 * vw - rate * (x.T @ g + ridge * w)
