@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, decontam, jaccard, langid, pii
-from tidelog.llm.common import table
+from tidelog.llm.common import durable, sized, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,18 +21,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """Rows with what tells them apart: the id as text, and a hash of the text."""
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__hash": F.xxhash64("text")})
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents, the one with the least doc_id stays; documents without words stay.
 
     Rows are told apart by doc_id and a hash of the text, so rows that share a doc_id but not a text are judged one
-    by one; of repeated rows one stays.
+    by one; of repeated rows one stays. Texts are moved only where rows repeat.
     """
-    named = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__text": F.xxhash64("text")})
-    found = jaccard.similar(named.select("doc_id", "text", "__id", "__text"), keep=("__id", "__text"))
-    stays = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("__id", "__text").distinct()
-    kept = named.join(stays, ["__id", "__text"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("__id", "__text").orderBy(F.lit(0)))
-    return kept.withColumn("__first", first).where("__first = 1").select(docs.columns)
+    names = ["__id", "__hash"]
+    named = _named(docs)
+    found = durable(jaccard.similar(named.select("doc_id", "text", *names), keep=tuple(names)).select("doc_id", *names, "n_shingles", "component_id"))
+    gone = sized(durable(found.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*names).distinct()))
+    again = sized(durable(found.groupBy(*names).count().where("count > 1").select(*names)))
+    kept = named.join(gone, names, "left_anti")
+    first = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))
+    single = kept.join(again, names, "left_semi").withColumn("__first", first).where("__first = 1")
+    return kept.join(again, names, "left_anti").select(docs.columns).unionByName(single.select(docs.columns))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +51,14 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in square brackets; n_chars follows the text."""
-    found = pii.extract(docs, keep=tuple(docs.columns))
-    found = found.withColumn("text", pii.redacted(F.col("text"), F.col("spans")))
+    names = ["__id", "__hash"]
+    named = _named(docs)
+    found = pii.extract(named.select("text", *names), keep=tuple(names)).where(F.size("spans") > 0)
+    found = sized(durable(found.select(*names, F.col("spans").alias("__spans")).dropDuplicates(names)), weight=F.size("__spans"))
+    out = named.join(found, names, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(pii.redacted(F.col("text"), F.col("__spans"))))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(docs.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +76,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``; what a stage returns is checkpointed before the next one reads it."""
-    from tidelog.llm.common import durable
-
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir))

@@ -155,7 +155,7 @@ def test_a_hot_url_against_brute_force(spark):
 def test_warc_files(spark, tmp_path):
     records = [{"type": "response", "record_id": f"<r{i}>", "url": f"http://a.org/{i}", "date": "2024-01-01T00:00:00Z", "status": 200, "http": {"ETag": '"e"', "X": "1"}, "payload": b"body\r\n\r\n" * i} for i in range(5)]
     (tmp_path / "a.warc").write_bytes(b"".join(map(warc.build, records)))
-    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(warc.build(r)) for r in records) + gzip.compress(warc.build(records[4])[:-20]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(warc.build(r)) for r in records) + gzip.compress(warc.build(records[4])[:-20]) + gzip.compress(warc.build(records[4]))[:-30])
     (tmp_path / "c.warc").write_bytes(b"")
     got = warc.read_warc(spark, str(tmp_path)).collect()
     assert len(got) == 10

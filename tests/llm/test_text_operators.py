@@ -350,7 +350,9 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_hard_cases(spark, hard):
-    rows = [(i, f"some text number {i % 7} " + ("you idiot" if i % 3 == 0 else "you friend"), int(i % 3 == 0)) for i in range(120)]
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    rows = [(i, f"{word()} {word()} text {word()} " + ("you idiot" if i % 3 == 0 else "you friend"), int(i % 3 == 0)) for i in range(120)]
     model = toxicity.train(spark.createDataFrame(rows, "doc_id int, text string, toxic int"))
     assert "idiot" in model["entries"]
     got = toxicity.score(hard.union(spark.createDataFrame([(9, "an 1d10t", *"abcde"), (10, "a friend", *"abcde")], DOCS)), model).collect()

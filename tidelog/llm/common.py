@@ -31,6 +31,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows up to which a table of a few short fields is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """A durable table, with the hint to broadcast it if its rows (or their weights), summed here, are ``most`` at most."""
+    total = df.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """(offset, length) of runs of rows whose texts have at most ``most`` bytes together."""
     import pyarrow.compute

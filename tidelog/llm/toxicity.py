@@ -1,15 +1,16 @@
 """Toxicity by a weighted lexicon, matched by an Aho-Corasick automaton over folded text.
 
 Folding lower-cases, maps look-alike letters and digits that stand for letters, one character to one. The lexicon
-and its weights are learned from labelled documents, as are exception phrases (a lexicon word with a neighbour
-that is common in clean documents). The sum of the weights, with and without division by the length, goes through
-a fitted logistic curve.
+(whole words, and stems that begin words) and its weights are learned from labelled documents, as are exception
+phrases (a lexicon word with a neighbour that is common in clean documents). The sum of the weights, with and
+without division by the length, goes through a fitted logistic curve.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -20,11 +21,14 @@ from pyspark.sql import types as T
 from tidelog.llm.common import crc_mod, durable, hash_sample, map_text, table
 
 #: Labelled rows of each label that are learned from at most, about.
-SAMPLE = 8000
+SAMPLE = 5000
 #: Entries of the lexicon, and exception phrases, at most.
 LEXICON, EXCEPTIONS = 2000, 2000
-#: A word enters the lexicon with at least so many toxic documents, and so large a logarithm of the odds ratio.
-SUPPORT, LOG_ODDS = 5, 1.5
+#: An entry is in so many toxic documents at least, with so large a logarithm of the odds ratio and so large a
+#: likelihood ratio (2 ln) against no association.
+SUPPORT, LOG_ODDS, LIKELIHOOD = 4, 3.0, 20.0
+#: Letters of a stem, least and most. An entry gives way to a longer one that has this share of its toxic documents.
+STEM, COVERED = (4, 8), 0.9
 
 # Look-alike letters of other scripts and the Latin letters they stand for.
 _LOOKALIKES = {
@@ -58,20 +62,34 @@ def fold(text: str) -> str:
     return _STANDS.sub(_letters, text) if _ODD.search(text) else text
 
 
-def _grams(df: DataFrame, words: set[str] | None) -> dict[str, tuple[int, int]]:
-    """Toxic and clean documents of each folded word; or, for lexicon words, of each of their two-word phrases."""
-    shared = df.sparkSession.sparkContext.broadcast(words)
+def _entries(text: str) -> set[str]:
+    """The words of a folded text, and their stems with an asterisk."""
+    out = set(_WORD.findall(text))
+    return out | {f"{w[:k]}*" for w in out for k in range(STEM[0], min(len(w), STEM[1] + 1))}
+
+
+def _is_entry(word: str, lexicon) -> bool:
+    return word in lexicon or any(f"{word[:k]}*" in lexicon for k in range(STEM[0], min(len(word), STEM[1] + 1)))
+
+
+def _phrases(text: str, lexicon) -> set[str]:
+    """Two-word phrases with a lexicon word, as they stand in a folded text."""
+    words = list(_WORD.finditer(text))
+    pairs = ((a, b) for a, b in zip(words, words[1:]) if text[a.end() : b.start()] == " ")
+    return {f"{a[0]} {b[0]}" for a, b in pairs if _is_entry(a[0], lexicon) or _is_entry(b[0], lexicon)}
+
+
+def _counted(df: DataFrame, lexicon: dict | None) -> DataFrame:
+    """Toxic and clean documents of each entry of the texts or, given a lexicon, of each phrase with an entry."""
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def make():
-        lexicon = shared.value
+        known = shared.value
 
         def apply(texts, labels):
             seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for t, toxic in zip(texts, labels):
-                w = _WORD.findall(fold(t))
-                if lexicon is not None:
-                    w = [f"{a} {b}" for a, b in zip(w, w[1:]) if a in lexicon or b in lexicon]
-                seen[toxic].update(set(w))
+                seen[toxic].update(_entries(fold(t)) if known is None else _phrases(fold(t), known))
             grams = list(seen[0].keys() | seen[1].keys())
             return [grams, [seen[1][g] for g in grams], [seen[0][g] for g in grams]]
 
@@ -82,19 +100,26 @@ def _grams(df: DataFrame, words: set[str] | None) -> dict[str, tuple[int, int]]:
     return found.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def signature(text: str) -> int:
+    """The least hash of a folded text's three-word runs: alike for most near copies."""
+    w = _WORD.findall(fold(text))
+    return min((zlib.crc32(" ".join(w[i : i + 3]).encode()) for i in range(max(1, len(w) - 2))), default=0)
+
+
 def matches(text: str, automaton) -> tuple[float, int, int]:
-    """Sum of weights, number of matches and number of words of a folded text. Longest entry at a place wins."""
+    """Sum of weights, number of matches and number of words of a folded text.
+
+    Entries begin words; whole words and phrases end with a word, too. Where several meet, the longest counts; an
+    exception phrase has weight 0 and so covers the words in it.
+    """
     n_words = len(_WORD.findall(text))
     if automaton is None or not text:
         return 0.0, 0, n_words
     found = []
-    for end, (size, weight) in automaton.iter(text):
+    for end, (size, weight, stem) in automaton.iter(text):
         begin = end - size + 1
-        if (begin == 0 or not text[begin - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
+        if (begin == 0 or not text[begin - 1].isalnum()) and (stem or end + 1 == len(text) or not text[end + 1].isalnum()):
             found.append((begin, end, weight))
-    if not found:
-        return 0.0, 0, n_words
-    # a phrase (an exception has weight 0) covers the words inside it
     found.sort(key=lambda x: (x[0] - x[1], x[0]))
     covered, total, n = set(), 0.0, 0
     for begin, end, weight in found:
@@ -107,13 +132,16 @@ def matches(text: str, automaton) -> tuple[float, int, int]:
 
 
 def automaton_of(entries: dict[str, float]):
+    """The automaton of words, stems (with an asterisk) and phrases; None for no entries."""
     import ahocorasick
 
-    a = ahocorasick.Automaton()
-    for phrase, weight in entries.items():
-        a.add_word(phrase, (len(phrase), weight))
     if not entries:
         return None
+    a = ahocorasick.Automaton()
+    for entry, weight in sorted(entries.items(), reverse=True):  # a word after its own stem, so the word stays
+        bare = entry.rstrip("*")
+        if bare not in a or not entry.endswith("*"):
+            a.add_word(bare, (len(bare), weight, entry.endswith("*") or f"{bare}*" in entries))
     a.make_automaton()
     return a
 
@@ -124,20 +152,38 @@ def _signals(total: float, n: int, n_words: int) -> tuple[float, float, float]:
 
 
 def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> dict:
-    """Lexicon, exceptions and curve from about ``sample`` rows of each label, chosen by a hash of the key."""
+    """Lexicon, exceptions and curve from about ``sample`` rows of each label, chosen by a hash of the key.
+
+    Rows with null text or another label are left out; with one label only, all texts score alike.
+    """
     rows = labelled.where(F.col(text).isNotNull() & F.col(toxic).isin(0, 1)).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic"))
-    rows = durable(hash_sample(rows, "key", "toxic", sample))
+    rows = hash_sample(rows, "key", "toxic", sample)
+
+    def make():
+        return lambda texts: [[signature(t) for t in texts]]
+
+    # of near copies one is enough: the others would make all of its words look telling
+    rows = map_text(rows, "text", ["key", "text", "toxic"], [("signature", T.LongType())], make)
+    rows = rows.groupBy("signature", "toxic").agg(F.min(F.struct("key", "text")).alias("r")).select("r.key", "r.text", "toxic")
+    rows = durable(rows)
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
-    odds = F.log((F.col("toxic") + 0.5) / (n1 - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (n0 - F.col("clean") + 0.5))
-    best = _grams(rows, None).where(F.col("toxic") >= SUPPORT).withColumn("w", odds).where(F.col("w") >= LOG_ODDS)
-    # evidence for the ratio, so that a word seen a few times doesn't outrank one seen often
-    best = best.withColumn("z", F.col("w") / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))).where(F.col("z") >= 3.5)
-    lexicon = {r["gram"]: r["w"] for r in best.orderBy(F.desc("z"), "gram").limit(LEXICON).collect()}
+    if not n1 or not n0:
+        return {"entries": {}, "curve": [math.log((n1 + 1) / (n0 + 1)), 0.0, 0.0, 0.0]}
+    a, b = F.col("toxic"), F.col("clean")
+    odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
+    part = lambda x, whole, of: F.when(x > 0, x * F.log(x * (n1 + n0) / (whole * of))).otherwise(0.0)
+    ratio = 2 * (part(a, a + b, n1) + part(b, a + b, n0) + part(n1 - a, n1 + n0 - a - b, n1) + part(n0 - b, n1 + n0 - a - b, n0))
+    best = _counted(rows, None).where(a >= SUPPORT).withColumns({"w": odds, "g": ratio}).where((F.col("w") >= LOG_ODDS) & (F.col("g") >= LIKELIHOOD))
+    best = best.orderBy(F.desc("g"), F.desc(F.length("gram")), "gram").limit(4 * LEXICON).collect()
+    known = {r["gram"]: (r["toxic"], r["w"]) for r in best}
+    covered = {f"{r['gram'][:k]}*" for r in best for k in range(STEM[0], len(r["gram"])) if r["toxic"] >= COVERED * known.get(f"{r['gram'][:k]}*", (math.inf,))[0] and f"{r['gram'][:k]}*" != r["gram"]}
+    lexicon = {g: w for g, (_, w) in known.items() if g not in covered}
+    lexicon = dict(list(lexicon.items())[:LEXICON])
     entries = dict(lexicon)
     if lexicon:
-        ratio = n1 / max(n0, 1)
-        bad = _grams(rows, set(lexicon)).where((F.col("clean") >= 5) & (F.col("clean") * ratio > 2 * F.col("toxic")))
+        share = n1 / max(n0, 1)
+        bad = _counted(rows, lexicon).where((b >= 5) & (b * share > 2 * a))
         entries |= {r["gram"]: 0.0 for r in bad.orderBy(F.desc("clean"), "gram").limit(EXCEPTIONS).collect()}
     model = {"entries": entries, "curve": None}
     seen = score(rows, model, keep=("key", "toxic"), raw=True).select("toxic", "total", "n", "n_words").collect()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,8 +48,14 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """Records of one WARC file, plain or gzipped by record. A record cut off at the end is left out."""
-    stream = _members(data)
+    """Records of one WARC file, plain or gzipped by record. What is cut off or damaged at the end is left out."""
+    try:
+        yield from _records(_members(data))
+    except (EOFError, gzip.BadGzipFile, zlib.error):
+        return
+
+
+def _records(stream: io.BufferedIOBase) -> Iterator[dict]:
     while True:
         line = stream.readline()
         while line in (b"\r\n", b"\n"):
