@@ -63,7 +63,7 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, glob: str = "out*.txt") -> DataFrame:
     """Throughput lines of all files up to the first line of each that isn't one, with file and line number."""
-    raw = _files(spark).option("pathGlobFilter", glob).option("wholetext", "true").text(path)
+    raw = _files(spark).option("pathGlobFilter", glob).text(path, wholetext=True)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line_no", "value"))
     bad = F.when(~F.col("value").rlike(LINE), F.col("line_no"))
     first = F.min(bad).over(Window.partitionBy("file"))
@@ -73,7 +73,7 @@ def read_lines(spark: SparkSession, path: str, glob: str = "out*.txt") -> DataFr
 
 def read_scalars(spark: SparkSession, path: str, glob: str = "put_total*.txt") -> DataFrame:
     """One integer per file."""
-    raw = _files(spark).option("pathGlobFilter", glob).option("wholetext", "true").text(path)
+    raw = _files(spark).option("pathGlobFilter", glob).text(path, wholetext=True)
     raw = raw.select(F.trim(F.regexp_replace("value", r"\s+$", "")).try_cast("bigint").alias("value"), F.col("_metadata.file_path").alias("file"))
     return raw.withColumns(path_dimensions(F.col("file")))
 
@@ -86,7 +86,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_runtimes(spark: SparkSession, path: str, glob: str = "run.txt") -> DataFrame:
     """All ``[OVERALL], RunTime(ms), N`` of each file, in seconds."""
-    raw = _files(spark).option("pathGlobFilter", glob).option("wholetext", "true").text(path)
+    raw = _files(spark).option("pathGlobFilter", glob).text(path, wholetext=True)
     found = F.regexp_extract_all("value", F.lit(r"\[OVERALL\], RunTime\(ms\), ([0-9]+)"), F.lit(1))
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode(found).alias("nth", "ms"))
     return raw.select("file", "nth", (F.col("ms").cast("bigint") / 1000.0).alias("runtime")).withColumns(path_dimensions(F.col("file")))
