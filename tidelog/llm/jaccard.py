@@ -3,11 +3,12 @@
 1. Documents with equal shingle sets form a class; only classes go on.
 2. Shingles are dealt by hash, counted over classes, and those that two classes share go back to their classes, as
    packed blocks. A class that shares fewer than three quarters of its shingles can't have a link and goes.
-3. Similar classes are partitioned into groups: two min-hash keys bring classes together, and each is compared with
-   a few pivots of its key. Verified links make the groups.
+3. Similar classes are partitioned into groups: min-hash keys over the rarer half of the shared shingles bring
+   classes together, and each is compared with a few pivots of its key, the most central classes first (those whose
+   shingles are most widely shared: of copies with changes, the original). Verified links make the groups.
 4. The matrix holds, for each rare-first prefix shingle, the groups whose members have it, with their range of sizes: the
    union of the members' prefixes. Two groups qualify if they meet in a prefix shingle within the bounds on size.
-   Qualifying groups are compared by their pivots first; pairs that stay apart are opened: their members are joined
+   Qualifying groups are compared by their most central members first; pairs that stay apart are opened: their members are joined
    by prefix shingles, size and position, and every candidate is verified. No true link can be missed: sets with
    a similarity of 3/4 share a shingle of the longer one's first n - ceil(3n/4) + 1 and the shorter one's first
    n - ceil(6n/7) + 1 shingles in any common order.
@@ -25,14 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import chunks, durable, map_text, table
+from tidelog.llm.common import chunks, durable, map_text, stored, table
 
 #: Words of a shingle; similarity as a share.
 SHINGLE, NUMER, DENOM = 5, 75, 100
 #: Shingles that a dealt block holds, about, and those that a task gathers before it deals them out.
-BLOCK_TOKENS, FLUSH_TOKENS = 4_000_000, 3_000_000
-#: Members of a key's subgroup, about, and pivots that a subgroup compares with.
-SUBGROUP, PIVOTS = 400, 8
+BLOCK_TOKENS, FLUSH_TOKENS = 3_000_000, 2_000_000
+#: Members of a key's subgroup, about, pivots that a subgroup compares with, and keys that are tried in turn.
+SUBGROUP, PIVOTS, KEYS = 400, 8, 4
+#: Rows of a partition of the small tables (links, groups), about, and rows up to which one of them is broadcast.
+SMALL, BROADCAST = 300_000, 300_000
 
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -179,8 +182,19 @@ def _batches(rows) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block"])
 
 
-def dealt_shingles(docs: DataFrame, text: str, buckets: int) -> DataFrame:
+def labels_of(spark: SparkSession, buckets: int) -> np.ndarray:
+    """Numbers for the buckets that the session's hash partitioning spreads evenly over as many partitions."""
+    where = F.pmod(F.hash(F.col("id").cast("int")), F.lit(buckets)).alias("p")
+    first: dict[int, list[int]] = {}
+    for r in spark.range(8 * buckets + 64, numPartitions=1).select("id", where).toLocalIterator():
+        first.setdefault(r["p"], []).append(r["id"])
+    turns = sorted((turn, p, i) for p, ids in first.items() for turn, i in enumerate(ids))
+    return np.array([i for _, _, i in turns[:buckets]], np.int32)
+
+
+def dealt_shingles(docs: DataFrame, text: str, labels: np.ndarray) -> DataFrame:
     """Blocks of shingles by bucket; copies of a set that a task meets again are dealt once."""
+    buckets = len(labels)
 
     def run(batches):
         seen: set[int] = set()
@@ -190,7 +204,7 @@ def dealt_shingles(docs: DataFrame, text: str, buckets: int) -> DataFrame:
             sizes = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-            bucket = ((flat >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+            bucket = labels[((flat >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)]
             for block in _deal(np.array(names, np.int64), sizes, owner, flat & _LOW48, bucket, 6):
                 yield _batches([block])
 
@@ -217,7 +231,7 @@ def dealt_shingles(docs: DataFrame, text: str, buckets: int) -> DataFrame:
 
 def _by_bucket(blocks: DataFrame, buckets: int, run, schema) -> DataFrame:
     """``run`` on the blocks of each bucket, which lie together; one bucket is in memory at a time."""
-    dealt = blocks.repartition(max(1, min(buckets, _partitions(blocks.sparkSession, buckets))), "bucket").sortWithinPartitions("bucket")
+    dealt = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     def each(batches):
         now, held = None, []
@@ -234,15 +248,12 @@ def _by_bucket(blocks: DataFrame, buckets: int, run, schema) -> DataFrame:
     return dealt.mapInArrow(each, schema)
 
 
-def _partitions(spark: SparkSession, buckets: int) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
-
-
-def shared_blocks(blocks: DataFrame, buckets: int) -> DataFrame:
+def shared_blocks(blocks: DataFrame, labels: np.ndarray) -> DataFrame:
     """Of each bucket, the shingles that two classes have, with the number of classes, dealt by class.
 
     A shingle becomes its number of classes (up to 65535) above its lower 48 bits, so plain order is rare-first.
     """
+    buckets = len(labels)
 
     def run(held):
         names, sizes, tokens, owner = _gather(held, 6)
@@ -263,18 +274,31 @@ def shared_blocks(blocks: DataFrame, buckets: int) -> DataFrame:
         more = count > 1
         tokens, owner, count = tokens[more], owner[more], count[more]
         key = (np.minimum(count, 65535).astype(np.uint64) << np.uint64(48)) | tokens
-        bucket = (names[owner].astype(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        bucket = labels[(names[owner].astype(np.uint64) % np.uint64(buckets)).astype(np.int64)]
         for block in _deal(names, sizes.astype(np.int64), owner, key, bucket, 8):
             yield _batches([block])
 
     return _by_bucket(blocks, buckets, run, _BLOCK)
 
 
-_SURVIVOR = T.StructType([T.StructField("class", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("shared", T.BinaryType())])
+_SURVIVOR = T.StructType(
+    [T.StructField("class", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("shared", T.BinaryType()), T.StructField("central", T.DoubleType())]
+    + [T.StructField(f"k{j}", T.LongType()) for j in range(KEYS)]
+)
+_SALTS = _mix(np.arange(1, KEYS + 1, dtype=np.uint64))
+
+
+def _min_keys(tokens: np.ndarray) -> list[int]:
+    """The shingles of least salted hash among the rarer half of a class's shared ones, one for each salt."""
+    rare = tokens[: (len(tokens) + 1) // 2]
+    return [int(rare[_mix((rare & _LOW48) ^ salt).argmin()].astype(np.int64)) for salt in _SALTS]
 
 
 def survivors(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Classes that share at least three quarters of their shingles: name, set size, shared shingles rare-first."""
+    """Classes that share at least three quarters of their shingles.
+
+    Name, set size, shared shingles rare-first, how widely they are shared on average, and the class's keys.
+    """
 
     def run(held):
         names, sizes, tokens, owner = _gather(held, 8)
@@ -285,9 +309,13 @@ def survivors(blocks: DataFrame, buckets: int) -> DataFrame:
         keep = np.flatnonzero(count * DENOM >= sizes.astype(np.int64) * NUMER)
         for a in range(0, len(keep), 1000):
             some = keep[a : a + 1000]
+            own = [tokens[ends[i] - count[i] : ends[i]] for i in some]
+            keys = [_min_keys(x) for x in own]
+            central = [float((x >> np.uint64(48)).sum()) / int(sizes[i]) for x, i in zip(own, some)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[some], pa.int64()), pa.array(sizes[some].astype(np.int32), pa.int32()), pa.array([tokens[ends[i] - count[i] : ends[i]].astype("<u8").tobytes() for i in some], pa.binary())],
-                names=["class", "n", "shared"],
+                [pa.array(names[some], pa.int64()), pa.array(sizes[some].astype(np.int32), pa.int32()), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary()), pa.array(central, pa.float64())]
+                + [pa.array([k[j] for k in keys], pa.int64()) for j in range(KEYS)],
+                names=_SURVIVOR.names,
             )
 
     return _by_bucket(blocks, buckets, run, _SURVIVOR)
@@ -299,28 +327,16 @@ def survivors(blocks: DataFrame, buckets: int) -> DataFrame:
 _EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _keys(shared: DataFrame) -> DataFrame:
-    """Two min-hash keys for each class: (class, key)."""
-    schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("key", T.LongType())])
-
-    def run(batches):
-        for batch in batches:
-            names, keys = [], []
-            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                low = np.frombuffer(blob, "<u8") & _LOW48
-                for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-                    names.append(name)
-                    keys.append(int(_mix(low ^ np.uint64(salt)).min().astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(keys, pa.int64())], names=["class", "key"])
-
-    return shared.select("class", "shared").mapInArrow(run, schema)
+def _sized(df: DataFrame) -> DataFrame:
+    """A durable table with the hint to broadcast it if it has at most BROADCAST rows (of a few numbers each)."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Verified links of members (key, part, class, n, shared) with up to PIVOTS pivots of their subgroup.
+    """Verified links of members (key, part, rank, central, class, n, shared) with a pivot of their subgroup.
 
-    A member that links with no pivot becomes one, as long as there is room; a pivot that is the subgroup's first
-    is reported as a link with itself. What isn't linked here is left to the matrix.
+    A member that links with no pivot becomes one, as long as there is room. What isn't linked here is left to later
+    keys and to the matrix.
     """
 
     def run(batches):
@@ -333,73 +349,79 @@ def _stars(members: DataFrame) -> DataFrame:
                     now, pivots = (k, p), []
                 x = np.frombuffer(raw, "<u8")
                 for other, y, m in pivots:
+                    if c == other:
+                        break
                     if linked(x, size, y, m):
                         a.append(c)
                         b.append(other)
                         break
                 else:
                     if len(pivots) < PIVOTS:
-                        if not pivots:
-                            a.append(c)
-                            b.append(c)
                         pivots.append((c, x, size))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return members.select("key", "part", "class", "n", "shared").repartition("key", "part").sortWithinPartitions("key", "part", "class").mapInArrow(run, _EDGE)
+    dealt = members.repartition("key", "part").sortWithinPartitions("key", "part", "rank", F.desc("central"), "class")
+    return dealt.select("key", "part", "class", "n", "shared").mapInArrow(run, _EDGE)
 
 
-def starred(shared: DataFrame) -> DataFrame:
-    """Links (a, b) found by comparing classes with the pivots of their keys.
+def starred(shared: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b) found by comparing classes with the pivots of their keys, one key after the other.
 
-    Members of a key are dealt into subgroups of about SUBGROUP; the first pivots of a key's subgroups are compared
-    among themselves in a second turn.
+    A class that a key has linked is represented by its pivot when the next key is tried. A key is a shingle, so its
+    number of classes bounds the members: they are dealt into subgroups of about SUBGROUP, and the most central
+    member of a key with several subgroups is the first pivot of all of them.
     """
-    keys = durable(_keys(shared))
-    count = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    parts = F.pmod(F.xxhash64("class"), F.ceil(F.col("k") / SUBGROUP))
-    placed = keys.join(count, "key").select("class", "key", parts.alias("part"), (F.col("k") > SUBGROUP).alias("large"))
-    first = durable(_stars(placed.join(shared, "class")))
-    # the first pivot of a subgroup is its least class, as members come in that order
-    lead = placed.where("large").groupBy("key", "part").agg(F.min("class").alias("class")).select("class", "key", F.lit(-1).cast("bigint").alias("part"))
-    second = durable(_stars(lead.join(shared, "class")))
-    return first.unionByName(second).where("a != b").distinct()
+    edges = None
+    for j in range(KEYS):
+        active = shared if edges is None else shared.join(_sized(edges).select(F.col("a").alias("class")), "class", "left_anti")
+        active = active.withColumn("key", F.col(f"k{j}"))
+        parts_of = F.ceil(F.shiftrightunsigned("key", 48) / SUBGROUP)
+        placed = active.select("key", F.pmod(F.xxhash64("class"), parts_of).alias("part"), F.lit(1).alias("rank"), "central", "class", "n", "shared")
+        leads = active.select("class", "key", "central").where(F.shiftrightunsigned("key", 48) > SUBGROUP).groupBy("key").agg(F.max_by("class", F.struct("central", "class")).alias("class"))
+        first = shared.join(_sized(stored(leads.coalesce(parts))), "class").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), parts_of - 1)).alias("part"), F.lit(0).alias("rank"), "central", "class", "n", "shared")
+        found = _stars(placed.unionByName(first)).where("a != b").distinct().coalesce(parts)
+        edges = stored(found if edges is None else edges.unionByName(found).coalesce(parts)).coalesce(parts)
+    return edges
 
 
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int = 4) -> DataFrame:
     """(node, comp): the least node that each node of the edges (a, b) reaches; hooking and pointer jumping.
 
     Every round hooks each component to its least neighbour and shortens the paths, so components at least halve;
-    tables are checkpointed, nothing but counts reaches the driver.
+    tables are written in ``parts`` parts, nothing but counts reaches the driver.
     """
-    edges = durable(edges.select("a", "b").where("a != b"))
+    keep = lambda df: stored(df.coalesce(parts)).coalesce(parts)  # noqa: E731  one part needs no further exchange
+    edges = keep(edges.select("a", "b").where("a != b"))
     label = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(parts)
+        parent = keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")))
         while True:
             over = parent.select(F.col("a").alias("up"), F.col("up").alias("top"))
-            jumped = durable(parent.join(over, "up").select("a", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            jumped = keep(parent.join(over, "up").select("a", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
             parent = jumped.select("a", "up")
-            if not jumped.where("moved").limit(1).count():
+            if not jumped.where("moved").take(1):
                 break
         step = parent.select(F.col("a").alias("comp"), "up")
         if label is None:
             label = parent.select(F.col("a").alias("node"), F.col("up").alias("comp"))
         else:
-            label = durable(label.join(step, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
+            label = keep(label.join(step, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
         left = edges.join(step.select(F.col("comp").alias("a"), F.col("up").alias("ua")), "a").join(step.select(F.col("comp").alias("b"), F.col("up").alias("ub")), "b")
-        edges = durable(left.where("ua != ub").select(F.col("ua").alias("a"), F.col("ub").alias("b")).distinct())
-        if not edges.limit(1).count():
+        edges = keep(left.where("ua != ub").select(F.col("ua").alias("a"), F.col("ub").alias("b")).distinct())
+        if not edges.take(1):
             return label
 
 
-def _grouped(shared: DataFrame, edges: DataFrame) -> DataFrame:
-    """(class, g): the group of each class; a class without links is a group of its own."""
-    label = components(edges).select(F.col("node").alias("class"), F.col("comp").alias("g"))
-    return durable(shared.select("class").join(label, "class", "left").select("class", F.coalesce("g", "class").alias("g")))
+def _grouped(shared: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
+    """(class, g): the group of each class, named by its most central member; a class without links is its own group."""
+    label = components(edges, parts).select(F.col("node").alias("class"), F.col("comp").alias("g"))
+    own = stored(shared.select("class", "central").join(label, "class", "left").select("class", "central", F.coalesce("g", "class").alias("g")).coalesce(parts))
+    lead = own.groupBy("g").agg(F.max_by("class", F.struct("central", "class")).alias("lead"))
+    return stored(own.join(lead, "g").select("class", F.col("lead").alias("g")).coalesce(parts))
 
 
 # ---------------------------------------------------------------- step 4
@@ -444,32 +466,34 @@ def verified(pairs: DataFrame, shared: DataFrame) -> DataFrame:
             ok = [linked(np.frombuffer(x, "<u8"), n, np.frombuffer(y, "<u8"), m) for x, n, y, m in zip(sa, na, sb, nb)]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(a, ok) if k], pa.int64()), pa.array([v for v, k in zip(b, ok) if k], pa.int64())], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, _EDGE)
+    known = _sized(pairs)
+    return left.join(known, "a").join(right.join(known, "b"), ["a", "b"]).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, _EDGE)
 
 
-def across(shared: DataFrame, group: DataFrame, edges: DataFrame) -> DataFrame:
-    """Links between groups, by the token-group matrix; ``edges`` are those within groups."""
-    tokens = durable(prefixes(shared).join(group, "class"))
+def across(shared: DataFrame, group: DataFrame, parts: int) -> DataFrame:
+    """Links between groups (class, g), by the token-group matrix."""
+    tokens = stored(prefixes(shared).join(_sized(group), "class"))
     sizes = (F.min("n").alias("low"), F.max("n").alias("high"))
     probe = tokens.groupBy("token", "g").agg(*sizes).select("token", F.col("g").alias("ga"), F.col("low").alias("la"), F.col("high").alias("ha"))
     index = tokens.where("short").groupBy("token", "g").agg(*sizes).select("token", F.col("g").alias("gb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
     # the probe is the longer set: some member of it is no shorter than one of the index, and not too long for it
     meet = probe.join(index, "token").where(f"ga != gb AND ha >= lb AND hb * {DENOM} >= la * {NUMER}")
-    pairs = durable(meet.select("ga", "gb").distinct())
-    # a group is named by its least class, which serves as its pivot
-    once = pairs.select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).distinct()
-    by_pivot = durable(verified(once, shared))
-    merged = components(by_pivot)
-    to = lambda g, out: merged.select(F.col("node").alias(g), F.col("comp").alias(out))
-    apart = pairs.join(to("ga", "ca"), "ga", "left").join(to("gb", "cb"), "gb", "left")
-    apart = durable(apart.where("coalesce(ca, ga) != coalesce(cb, gb)").select("ga", "gb"))
+    meet = stored(meet.select("token", "ga", "gb", "lb", "hb"))
+    # a group is named by its most central class, which serves as its pivot
+    once = stored(meet.select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).distinct().coalesce(parts))
+    by_pivot = stored(verified(once, shared).coalesce(parts))
+    merged = components(by_pivot, parts)
+    to = lambda g, out: _sized(merged).select(F.col("node").alias(g), F.col("comp").alias(out))
+    apart = meet.join(to("ga", "ca"), "ga", "left").join(to("gb", "cb"), "gb", "left")
+    apart = stored(apart.where("coalesce(ca, ga) != coalesce(cb, gb)").select("token", "ga", "gb", "lb", "hb"))
     long = tokens.select("token", F.col("g").alias("ga"), F.col("class").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
     short = tokens.where("short").select("token", F.col("g").alias("gb"), F.col("class").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"))
-    opened = long.join(apart, "ga").join(short, ["token", "gb"])
+    # only the meeting places of qualifying groups are opened, within the sizes that the other group has there
+    opened = long.join(_sized(apart), ["token", "ga"]).where(f"nx >= lb AND hb * {DENOM} >= nx * {NUMER}").drop("lb", "hb")
     # position bound: the shingles from the meeting place on must suffice for the overlap needed
     enough = f"least(nx - ax, ny - ay) * {NUMER + DENOM} >= {NUMER} * (nx + ny)"
-    fit = opened.where(f"x != y AND ny <= nx AND ny * {DENOM} >= nx * {NUMER} AND {enough}")
-    candidates = fit.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    fit = opened.join(short, ["token", "gb"]).where(f"x != y AND ny <= nx AND ny * {DENOM} >= nx * {NUMER} AND {enough}")
+    candidates = stored(fit.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return by_pivot.unionByName(verified(candidates, shared))
 
 
@@ -486,16 +510,18 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tupl
     rows = durable(measured(docs, text, (key, *keep)))
     some = rows.where("n_shingles > 0")
     classes = some.groupBy("class").agg(F.min(key).alias("__least"), F.first("n_shingles").alias("n"))
-    total = classes.agg(F.sum("n")).first()[0] or 0
+    size = classes.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+    total = size["n"] or 0
+    parts = max(1, math.ceil(size["k"] / SMALL))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BLOCK_TOKENS)) if total > BLOCK_TOKENS else max(1, math.ceil(total / 250_000))
-    shared = durable(survivors(shared_blocks(dealt_shingles(docs, text, buckets), buckets), buckets))
-    stars = durable(starred(shared))
-    more = durable(across(shared, _grouped(shared, stars), stars))
-    label = components(stars.unionByName(more)).select(F.col("node").alias("class"), "comp")
-    named = classes.join(label, "class", "left").select("class", "__least", F.coalesce("comp", "class").alias("comp"))
-    named = durable(named)
+    labels = labels_of(spark, buckets)
+    shared = durable(survivors(shared_blocks(dealt_shingles(docs, text, labels), labels), buckets))
+    stars = starred(shared, parts)
+    more = stored(across(shared, _grouped(shared, stars, parts), parts).coalesce(parts))
+    label = components(stars.unionByName(more), parts).select(F.col("node").alias("class"), "comp")
+    named = stored(classes.join(label, "class", "left").select("class", "__least", F.coalesce("comp", "class").alias("comp")).coalesce(parts))
     least = named.groupBy("comp").agg(F.min("__least").alias("component_id"))
-    named = named.join(least, "comp").select(F.col("class"), "component_id")
+    named = named.join(least, "comp").select("class", "component_id")
     alone = rows.where("n_shingles = 0").withColumn("component_id", F.col(key))
     return some.join(named, "class").unionByName(alone).select(key, *keep, "n_shingles", "class", "component_id")
 
