@@ -71,13 +71,18 @@ def fit(x: np.ndarray, y: np.ndarray, k: int, steps: int = 200, rate: float = 4.
     weight = (weight / weight.sum()).astype(np.float32)[:, None]
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
-    x = x.astype(np.float32)
+    # rows are half precision and are widened block by block, so the driver holds the sample once
+    blocks = [slice(a, a + 512) for a in range(0, len(x), 512)]
     for _ in range(steps):
-        g = -target * weight / (1 + np.exp(np.clip(target * (x @ w + b), -30, 30)))
-        vw = 0.9 * vw - rate * (x.T @ g + ridge * w)
-        vb = 0.9 * vb - rate * g.sum(0)
+        gw, gb = ridge * w, np.zeros_like(b)
+        for s in blocks:
+            some = x[s].astype(np.float32)
+            g = -target[s] * weight[s] / (1 + np.exp(np.clip(target[s] * (some @ w + b), -30, 30)))
+            gw += some.T @ g
+            gb += g.sum(0)
+        vw, vb = 0.9 * vw - rate * gw, 0.9 * vb - rate * gb
         w, b = w + vw, b + vb
-    right = ((x @ w + b) * target > 0).astype(float)
+    right = np.concatenate([(x[s].astype(np.float32) @ w + b) * target[s] > 0 for s in blocks])
     accuracy = np.clip((right * weight).sum(0), 0.5, 0.999)
     return {"code": code, "w": w.astype(np.float32), "b": b, "bit": np.log(accuracy / (1 - accuracy)) + 1e-3}
 
@@ -117,10 +122,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         return apply
 
     found = map_text(rows, text, [], [("x", T.BinaryType()), ("y", T.StringType())], make, also=(lang,), rows=True).collect()
-    found = sorted(found, key=lambda r: (r["y"], r["x"]))
+    found.sort(key=lambda r: (r["y"], r["x"]))
     names = sorted({r["y"] for r in found})
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in found], np.float32).reshape(len(found), DIMS)
     y = np.array([names.index(r["y"]) for r in found], int)
+    x = np.empty((len(found), DIMS), np.float16)
+    for i in range(len(found) - 1, -1, -1):
+        x[i] = np.frombuffer(found.pop()["x"], np.float16)
     return {"names": names} | (fit(x, y, len(names)) if names else {})
 
 
