@@ -151,10 +151,23 @@ def _signals(total: float, n: int, n_words: int) -> tuple[float, float, float]:
     return float(n > 0), math.log1p(total), math.log1p(100 * total / (n_words + 20))
 
 
-def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> dict:
+def chosen(docs: DataFrame, labels: DataFrame, toxic: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
+    """The documents of about ``sample`` rows of each label, and how many rows each label has.
+
+    The sample is drawn from the labels alone. Its size is bounded, so it is broadcast, and no text is moved but the
+    sample's.
+    """
+    labels = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(toxic).cast("int").alias(toxic))
+    totals = {r[0]: r[1] for r in labels.groupBy(toxic).count().collect()}
+    drawn = durable(hash_sample(labels, key, toxic, sample))
+    return durable(docs.join(F.broadcast(drawn), key)), totals
+
+
+def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", sample: int = SAMPLE, totals: dict[int, int] | None = None) -> dict:
     """Lexicon, exceptions and curve from about ``sample`` rows of each label, chosen by a hash of the key.
 
-    Rows with null text or another label are left out; with one label only, all texts score alike.
+    Rows with null text or another label are left out; with one label only, all texts score alike. ``totals`` says how
+    often each label occurs where ``labelled`` is a sample itself.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(toxic).isin(0, 1)).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic"))
     rows = hash_sample(rows, "key", "toxic", sample)
@@ -193,7 +206,7 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: st
     curve = np.array([base, 0.0, 0.0, 0.0])
     share = y.mean() if len(y) else 0.0
     # rows weigh as the labels occur in the whole table, not as in the sample
-    whole = {r[0]: r[1] for r in labelled.where(F.col(toxic).isin(0, 1)).groupBy(F.col(toxic).cast("int")).count().collect()}
+    whole = totals or {r[0]: r[1] for r in labelled.where(F.col(toxic).isin(0, 1)).groupBy(F.col(toxic).cast("int")).count().collect()}
     weight = np.where(y == 1, whole.get(1, 0) / max(n1, 1), whole.get(0, 0) / max(n0, 1))
     if 0 < share < 1:
         weight /= weight.sum()
@@ -240,6 +253,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``, scored as ``labels.toxic`` marks it."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where((crc_mod("doc_id", 5) != 0) & F.col("toxic").isNotNull())
-    model = train(docs.join(labels, "doc_id"))
-    found = score(docs, model)
+    sampled, totals = chosen(docs, labels)
+    found = score(docs, train(sampled, totals=totals))
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_matches")
