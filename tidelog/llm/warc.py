@@ -6,7 +6,6 @@ are checked, and the headers that a not-modified answer may update are merged in
 
 from __future__ import annotations
 
-import gzip
 import io
 import zlib
 from collections.abc import Iterator
@@ -28,8 +27,17 @@ RECORD = T.StructType(
 # ---------------------------------------------------------------- files
 
 
-def _members(data: bytes) -> io.BufferedIOBase:
-    return gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+def _members(data: bytes) -> Iterator[io.BytesIO]:
+    """The file itself, or each of its gzip members (one for each record, as the format has it) that is whole."""
+    if data[:2] != b"\x1f\x8b":
+        yield io.BytesIO(data)
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        raw = member.decompress(data)
+        if not member.eof:
+            return
+        yield io.BytesIO(raw)
+        data = member.unused_data
 
 
 def _fields(lines: list[bytes]) -> dict[str, str]:
@@ -50,8 +58,9 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
 def parse(data: bytes) -> Iterator[dict]:
     """Records of one WARC file, plain or gzipped by record. What is cut off or damaged at the end is left out."""
     try:
-        yield from _records(_members(data))
-    except (EOFError, gzip.BadGzipFile, zlib.error):
+        for member in _members(data):
+            yield from _records(member)
+    except zlib.error:
         return
 
 
