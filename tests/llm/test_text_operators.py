@@ -330,6 +330,12 @@ def test_folding():
     assert toxicity.fold("call 555-2485 $$$ idiot$$$") == "call 555-2485 $$$ idiot$$$"
 
 
+def test_folding_undoes_each_substitution_alone():
+    assert toxicity.fold("you 8astard") == "you bastard" and toxicity.fold("a 9oon") == "a goon"
+    for sign, letter in toxicity._DIGITS.items():
+        assert toxicity.fold(f"x {sign}word") == f"x {letter}word"
+
+
 def test_automaton_takes_whole_words_and_exceptions():
     a = toxicity.automaton_of({"idiot": 2.0, "trash": 1.0, "trash can": 0.0})
     assert toxicity.matches(toxicity.fold("An idiot, idiotic TRASH"), a) == (3.0, 2, 4)

@@ -48,8 +48,8 @@ _TABLE |= {c: None for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)}
 #: Signs beside which a digit or sign is read as a letter: a letter after it, or (digits only) a letter before it and no letter or digit after it.
 _STANDS = re.compile(r"[01345789@$!|]+(?=[^\W\d_])|(?<=[^\W\d_])[013457]+(?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]+")
-#: One search that tells whether a text needs the slow part of folding.
-_ODD = re.compile(r"[013457@$!|]")
+#: One search that tells whether a text needs the slow part of folding: any of the signs that may stand for letters.
+_ODD = re.compile(f"[{re.escape(''.join(_DIGITS))}]")
 
 
 def _letters(m: re.Match) -> str:
