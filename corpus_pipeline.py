@@ -13,12 +13,13 @@ from tidelog.llm.common import durable, sized, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null text, or no letter in it.
+    """Drops documents without a language: null text, no letter in it, or far from every codeword of the classifier.
 
-    Ambiguous documents stay: a text in two languages is not unclean. The classifier learns from ``docs``.
+    The classifier learns from ``docs``. ``langid.identify`` says what far is; ambiguous documents stay (a text in two
+    languages is not unclean), and so do all with a letter where fewer than two labels were learned.
     """
     found = langid.identify(docs, langid.train(langid.held_in(docs)), keep=tuple(docs.columns))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    return found.where(~F.col("rejected")).select(docs.columns)
 
 
 def _named(docs: DataFrame) -> DataFrame:

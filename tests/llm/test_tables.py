@@ -269,6 +269,21 @@ def test_stages(spark):
         df.unpersist()
 
 
+def test_language_stage_rejects_by_the_decoder(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rnd = random.Random(8)
+    junk = [(10_000 + i, " ".join("".join(rnd.choices("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ", k=9)) for _ in range(40)), None) for i in range(40)]
+    clean = [(20_000, "A", None), (20_001, "The people of the town went to the river in the morning.", None)]
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(junk + clean, docs.schema)), SF).collect()}
+    assert sum(i in kept for i, *_ in junk) <= 20
+    assert kept >= {r["doc_id"] for r in docs.select("doc_id").collect()} | {20_000, 20_001}
+
+
+def test_language_stage_without_labels_keeps_texts_with_letters(spark):
+    docs = spark.createDataFrame([(1, "a text", None), (2, "12 !", None), (3, None, None), (4, "", None), (5, "xqzt", None)], "doc_id bigint, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()) == [1, 5]
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert got and len({r["doc_id"] for r in got}) == len(got)

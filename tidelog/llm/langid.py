@@ -1,7 +1,8 @@
 """Language identification by error-correcting output codes.
 
 Each language has a codeword; each bit of the code is a binary logistic classifier over hashed byte n-grams;
-decoding takes the codeword of least weighted logistic loss and flags texts whose two best codewords are close.
+decoding takes the codeword of least weighted logistic loss, flags texts whose two best codewords are close and
+rejects texts that are far from every codeword.
 """
 
 from __future__ import annotations
@@ -22,6 +23,11 @@ DIMS = 4096
 SAMPLE = 800
 #: Difference of the two best codewords' shares below which a text is ambiguous.
 AMBIGUOUS = 0.1
+#: Weighted logistic loss for each bit from which on a text may be far from a codeword (a bit that knows nothing costs
+#: 0.69), and the share of the sample that is never far: where labels can't be told apart, few texts are rejected.
+FAR, NEAR_SHARE = 0.4, 0.999
+#: Letters below which a text has too little in it to be rejected as far.
+FAR_LETTERS = 20
 #: Answer where there is no letter.
 UNKNOWN = "und"
 
@@ -87,18 +93,25 @@ def fit(x: np.ndarray, y: np.ndarray, k: int, steps: int = 200, rate: float = 4.
     return {"code": code, "w": w.astype(np.float32), "b": b, "bit": np.log(accuracy / (1 - accuracy)) + 1e-3}
 
 
-def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, share of the nearest codeword and distance to the second one's share, by weighted logistic loss."""
+def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class, share of the nearest codeword, distance to the second one's share, and loss to the nearest codeword."""
     code, bit = model["code"], model["bit"]
     if not code.shape[1]:
-        return np.zeros(len(x), int), np.ones(len(x)), np.ones(len(x))
+        return np.zeros(len(x), int), np.ones(len(x)), np.ones(len(x)), np.zeros(len(x))
     margin = x @ model["w"] + model["b"]
-    loss = np.logaddexp(0, -margin[:, None, :] * code[None]) @ (bit / bit.sum()) * np.log2(len(code) + 1) * 2
+    each = np.logaddexp(0, -margin[:, None, :] * code[None]) @ (bit / bit.sum())
+    loss = each * np.log2(len(code) + 1) * 2
     share = np.exp(loss.min(1, keepdims=True) - loss)
     share /= share.sum(1, keepdims=True)
     first = share.argmax(1)
     ordered = np.sort(share, 1)
-    return first, ordered[:, -1], ordered[:, -1] - ordered[:, -2]
+    return first, ordered[:, -1], ordered[:, -1] - ordered[:, -2], each.min(1)
+
+
+def far_from(model: dict, x: np.ndarray) -> float:
+    """The loss above which a text is far from every codeword, given the sample that was fitted."""
+    seen = [decode(model, x[a : a + 512].astype(np.float32))[3] for a in range(0, len(x), 512)]
+    return max(FAR, float(np.quantile(np.concatenate(seen), NEAR_SHARE)))
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> dict:
@@ -128,31 +141,39 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     x = np.empty((len(found), DIMS), np.float16)
     for i in range(len(found) - 1, -1, -1):
         x[i] = np.frombuffer(found.pop()["x"], np.float16)
-    return {"names": names} | (fit(x, y, len(names)) if names else {})
+    if not names:
+        return {"names": names}
+    model = fit(x, y, len(names))
+    return {"names": names} | model | {"far": far_from(model, x)}
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Kept columns with lang_pred, score (share of the nearest codeword, 0 to 1) and ambiguous.
+    """Kept columns with lang_pred, score (share of the nearest codeword, 0 to 1), ambiguous and rejected.
 
     Null texts and texts without a letter are ``und`` with score 0 and not ambiguous, as are all texts where
-    nothing was learned. Ties go to the first language in alphabetical order. Very long texts are read whole; an
+    nothing was learned. Rejected are null texts, texts without a letter and, where two labels and more were learned,
+    texts of ``FAR_LETTERS`` letters and more that are far from every codeword. Ties go to the first language in alphabetical order. Very long texts are read whole; an
     empty table gives an empty result; repeated rows have repeated results. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType())]
+    fields = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType()), ("rejected", T.BooleanType())]
 
     def make():
         m = shared.value
 
         def apply(texts):
-            has = [i for i, t in enumerate(texts) if t and m["names"] and _LETTER.search(t)]
-            pred, score, unsure = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
+            has = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+            pred, score, unsure, out = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts), [True] * len(texts)
+            for i in has:
+                out[i] = False
+            has = has if m["names"] else []
             for a in range(0, len(has), 128):
                 some = has[a : a + 128]
-                first, share, gap = decode(m, features([texts[i] for i in some]))
-                for i, f, s, g in zip(some, first.tolist(), share.tolist(), gap.tolist()):
+                first, share, gap, loss = decode(m, features([texts[i] for i in some]))
+                for i, f, s, g, d in zip(some, first.tolist(), share.tolist(), gap.tolist(), loss.tolist()):
                     pred[i], score[i], unsure[i] = m["names"][f], min(1.0, s), g < AMBIGUOUS
-            return [pred, score, unsure]
+                    out[i] = d > m["far"] and sum(1 for _ in itertools.islice(_LETTER.finditer(texts[i]), FAR_LETTERS)) == FAR_LETTERS
+            return [pred, score, unsure, out]
 
         return apply
 
