@@ -135,6 +135,22 @@ def test_secrets_battery_tells_random_from_words():
     assert (w["text"] > 1e-3).all()
 
 
+@pytest.mark.parametrize("alpha, encoding", [("abcdefghijklmnopqrstuvwxyz0123456789", "base36 lower"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base36"), ("abcdefghijklmnopqrstuvwxyz234567", "base32 lower"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "mixed letters")])
+def test_secrets_of_every_alphabet_are_found_and_words_are_not(spark, alpha, encoding):
+    rnd = random.Random(11)
+    keys = ["".join(rnd.choices(alpha, k=96)) for _ in range(20)]
+    t = secrets.battery(keys)
+    assert {secrets._ENCODINGS[e] for e in t["encoding"]} == {encoding}
+    words = "the of and people river morning house window garden station winter letter number company history question".split()
+    join = {"base36 lower": "1", "base36": "1", "base32 lower": "2", "mixed letters": ""}[encoding]
+    texts = ["-".join(rnd.choices(words, k=8)) for _ in range(60)] + ["/".join(w.title() for w in rnd.choices(words, k=8)) for _ in range(60)]
+    texts += [join.join(rnd.choices(words, k=9)) for _ in range(60)] + ["".join(w.title() for w in rnd.choices(words, k=9)) for _ in range(60)]
+    rows = [(i, f"see {k} here") for i, k in enumerate(keys)] + [(100 + i, f"see {x} here") for i, x in enumerate(texts)]
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in secrets.find(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert sum(got[i] == [("random", 4, 100)] for i in range(20)) >= 17
+    assert all(got[100 + i] == [] for i in range(len(texts)))
+
+
 def test_secrets_are_added_and_words_are_not(spark):
     rnd = random.Random(6)
     alpha = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

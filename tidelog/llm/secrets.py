@@ -33,8 +33,8 @@ PATTERNS = {
 STRING = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
 
 #: Alphabets: name, symbols, and how letters of words appear in them.
-_ENCODINGS = ("hex", "base32", "letters", "base64")
-_SIZE = np.array([16, 32, 26, 64], float)
+_ENCODINGS = ("hex", "base32", "letters", "base64", "base36", "base32 lower", "base36 lower", "mixed letters")
+_SIZE = np.array([16, 32, 26, 64, 36, 32, 36, 52], float)
 # Shares of the letters a to z in running English text, in per cent.
 _LETTERS = np.array([8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074])
 
@@ -59,18 +59,20 @@ def _normal_tail(z: np.ndarray) -> np.ndarray:
 
 def _maps() -> np.ndarray:
     """Symbol of each byte in each encoding, -1 where it has none."""
-    m = np.full((4, 256), -1, np.int64)
+    m = np.full((8, 256), -1, np.int64)
     for i in range(10):
-        m[0, 48 + i] = i
+        m[0, 48 + i] = m[4, 48 + i] = m[6, 48 + i] = i
         m[3, 48 + i] = 52 + i
     for i in range(6):
         m[0, 97 + i] = m[0, 65 + i] = 10 + i
     for i in range(26):
-        m[1, 65 + i] = i
+        m[1, 65 + i] = m[5, 97 + i] = i
         m[2, 97 + i] = m[2, 65 + i] = i
+        m[4, 65 + i] = m[6, 97 + i] = 10 + i
         m[3, 65 + i], m[3, 97 + i] = i, 26 + i
+        m[7, 65 + i], m[7, 97 + i] = i, 26 + i
     for i in range(2, 8):
-        m[1, 48 + i] = 24 + i
+        m[1, 48 + i] = m[5, 48 + i] = 24 + i
     for c, v in ((43, 62), (45, 62), (47, 63), (95, 63)):
         m[3, c] = v
     return m
@@ -93,13 +95,16 @@ def battery(strings: list[str]) -> dict[str, np.ndarray]:
     digit = count((raw >= 48) & (raw <= 57))
     upper, lower = count((raw >= 65) & (raw <= 90)), count((raw >= 97) & (raw <= 122))
     hexa = count(_MAPS[0][raw] >= 0)
-    b32 = count(_MAPS[1][raw] >= 0)
+    b32, b32_lower = count(_MAPS[1][raw] >= 0), count(_MAPS[5][raw] >= 0)
     enc = np.full(len(strings), 3)
+    enc[upper + lower == size] = 7
     enc[(upper == size) | (lower == size)] = 2
+    enc[(upper + digit == size) & (digit > 0)] = 4
+    enc[(lower + digit == size) & (digit > 0)] = 6
+    enc[(b32_lower == size) & (digit > 0)] = 5
     enc[(b32 == size) & (digit > 0)] = 1
     enc[(hexa == size) & ((upper == 0) | (lower == 0)) & (digit > 0)] = 0
     only_digits = digit == size
-    one = (enc == 3) & ((upper == 0) | (lower == 0) | (digit == 0))  # words with hyphens, slashes or one capital
 
     which = np.repeat(np.arange(len(strings)), size)
     symbol = _MAPS[enc[which], raw]
@@ -125,7 +130,7 @@ def battery(strings: list[str]) -> dict[str, np.ndarray]:
     d = _excess()[enc]
     text_mean, text_sd = df + (n - 1) * d, np.sqrt(2 * df + 4 * (n - 1) * d)
     text = _normal_tail((text_mean - x2) / text_sd)
-    text[only_digits | one] = 1.0
+    text[only_digits] = 1.0
     return {"encoding": enc, "n": size, "chi": chi, "runs": run, "serial": serial, "text": text}
 
 
@@ -202,8 +207,8 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     """Kept columns with ``base`` and ``spans``: arrays of (kind, s, e) by start, then kind.
 
     ``spans`` has the base matches and strings of kind ``random`` that overlap none of them. Null and empty texts
-    have none. Strings of digits only, and strings without upper case, lower case and digits together that read as
-    base64, are never discoveries. Ties in p share a bin and are accepted together. Repeated rows have equal
+    have none. Strings of digits only are never discoveries; words with hyphens, slashes or capitals are left to the
+    rule. Ties in p share a bin and are accepted together. Repeated rows have equal
     results; an empty table gives an empty result. Texts are read once, whole; only counts are shuffled.
     """
     keep = tuple(c for c in keep if c not in ("base", "spans", "tested", *KINDS))
