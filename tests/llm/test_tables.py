@@ -236,6 +236,22 @@ def test_a_host_that_links_to_blocked_hosts_is_blocked(spark):
     assert urls.judge(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
 
 
+def test_trust_and_distrust_go_on_until_they_converge(spark):
+    chain = [(i, f"http://h{i}.net/x", f"<a href='http://h{i + 1}.net/'>") for i in range(14)]
+    rows = chain + [(14, "http://h14.net/x", "<a href='http://bad.com/y'>"), (15, "http://bad.com/de/1", "")]
+    got = {r["page_id"]: (r["verdict"], r["distrust"]) for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert {v for v, _ in got.values()} == {"block"}
+    assert all(np.isclose(got[i][1], 0.15 * 0.85 ** (15 - i)) for i in range(15))
+
+
+def test_small_scores_are_compared_unrounded(spark):
+    rows = [(0, "http://bad.com/de/1", ""), (1, "http://a.net/x", "<a href='http://bad.com/y'>"), (2, "http://big.net/x", "<a href='http://bad.com/y'>" * 1_000_000)]
+    for i in range(3):  # each step back divides what a host gets by a thousand
+        rows += [(10 + 2 * i, f"http://s{i}.net/x", f"<a href='http://{'a' if i == 0 else f's{i - 1}'}.net/'>"), (11 + 2 * i, f"http://t{i}.net/x", f"<a href='http://{'a' if i == 0 else f's{i - 1}'}.net/'>" * 1000)]
+    got = {r["page_id"]: (r["verdict"], r["distrust"]) for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[14][0] == "block" and 0 < got[14][1] < 5e-10
+
+
 # ---------------------------------------------------------------- pipeline
 
 
