@@ -332,6 +332,23 @@ def test_language_hard_cases(spark, hard):
     assert {r["lang_pred"] for r in langid.identify(hard, single).collect()} == {"und", "en"}
 
 
+def test_language_sample_takes_hot_and_null_keys_and_every_label(spark):
+    from tidelog.llm.common import exact_sample
+
+    columns = "doc_id bigint, text string, lang string"
+    rows = [(7, f"hot text {i}", "aa") for i in range(3000)] + [(None, f"null text {i}", "bb") for i in range(3000)] + [(i, f"own {i}", "cc") for i in range(300)]
+    rows += [(8, "one row again and again", "dd")] * 3000 + [(i, f"label {i}", f"x{i}") for i in range(300)] + [(9, "not labelled", None)]
+    got = exact_sample(spark.createDataFrame(rows, columns), "doc_id", "text", "lang", 100, 1_000_000).collect()
+    by = {}
+    for r in got:
+        by[r["lang"]] = by.get(r["lang"], 0) + 1
+    assert by == {"aa": 100, "bb": 100, "cc": 100, "dd": 1} | {f"x{i}": 1 for i in range(300)}
+    few = exact_sample(spark.createDataFrame(rows, columns), "doc_id", "text", "lang", 100, 608).groupBy("lang").count().collect()
+    assert len(few) == 304 and max(r["count"] for r in few) == 2
+    many = [(i, "".join(chr(97 + (i * 7 + j * (i % 5 + 1)) % 26) for j in range(40)), f"l{i:03}") for i in range(260)]
+    assert len(langid.train(spark.createDataFrame(many + [(None, None, "no")], columns))["names"]) == 260
+
+
 def test_language_codes_are_apart():
     for k in (2, 4, 7, 12):
         code = langid.code_matrix(k)

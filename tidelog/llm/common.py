@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,6 +133,25 @@ def hash_sample(df: DataFrame, key: str, label: str, most: int, max_labels: int
     return df.where(keep)
 
 
+def exact_sample(df: DataFrame, key: str, text: str, label: str, most: int, total: int) -> DataFrame:
+    """(text, label): different rows of each label that isn't null, by a hash of key and text; repeated rows count once.
+
+    Every label has ``most`` rows at most, or its part of ``total`` where there are too many labels for that, but one at
+    least. Labels are counted by sketches; about twice the rows wanted are moved, as small numbers until they are cut.
+    """
+    rows = df.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").isNotNull())
+    rows = rows.select(F.col(f"`{text}`").alias(text), F.col(f"`{label}`").alias(label), F.xxhash64(F.lit("sample"), F.col(f"`{key}`").cast("string"), F.col(f"`{text}`")).alias("__spot"))
+    counts = durable(rows.groupBy(label).agg(F.approx_count_distinct("__spot").alias("__n")))
+    most = max(1, min(most, total // max(1, counts.count())))
+    # twice the share, and 20 rows, so that neither the sketch's error nor chance leaves a label short
+    share = F.least(F.lit(1.0), F.lit(2.0 * most + 20) / F.greatest("__n", F.lit(1)))
+    near = rows.join(sized(counts.select(label, share.alias("__share"))), label).where(F.pmod("__spot", F.lit(1 << 30)) < F.col("__share") * (1 << 30))
+    spots = near.select(label, "__spot").distinct()
+    order = Window.partitionBy(label).orderBy(F.pmod("__spot", F.lit(1 << 30)), "__spot")
+    drawn = sized(durable(spots.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= most).select(label, "__spot")))
+    return rows.join(drawn, [label, "__spot"]).groupBy(label, "__spot").agg(F.first(text).alias(text)).select(text, label)
+
+
 def with_spans(df: DataFrame, text: str, out: str, pattern: str, valid: Callable[[Column], Column] | None = None, group: int = 0, context: int = 0) -> DataFrame:
     """A column of all matches of a Java pattern: array<struct<s, e, m, g, left, right>>, by SQL functions only.
 

@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import crc_mod, hash_sample, map_text, table
+from tidelog.llm.common import crc_mod, exact_sample, map_text, table
 
 #: Hashed features of a text.
 DIMS = 4096
-#: Training rows for each language, about (the bounded sample that is fitted).
-SAMPLE = 800
+#: Training rows for each language at most (the bounded sample that is fitted), and for all of them together: above 25
+#: languages each has its part of these, so that every language is learned and the driver's memory is bounded.
+SAMPLE, SAMPLE_TOTAL = 800, 20_000
 #: Difference of the two best codewords' shares below which a text is ambiguous.
 AMBIGUOUS = 0.1
 #: Weighted logistic loss for each bit from which on a text may be far from a codeword (a bit that knows nothing costs
@@ -61,7 +62,9 @@ def code_matrix(k: int, seed: int = 7) -> np.ndarray:
     best, most = None, -1
     for _ in range(200):
         m = rng.choice((-1.0, 1.0), size=(k, int(np.ceil(10 * np.log2(k)))))
-        apart = min(int((m[a] != m[b]).sum()) for a, b in itertools.combinations(range(k), 2))
+        alike = m @ m.T
+        np.fill_diagonal(alike, -m.shape[1])
+        apart = int((m.shape[1] - alike.max()) // 2)
         if apart > most:
             best, most = m, apart
     return best
@@ -115,9 +118,11 @@ def far_from(model: dict, x: np.ndarray) -> float:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> dict:
-    """Fit on about ``sample`` rows of each language, chosen by a hash of the key; whole texts are read."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = hash_sample(rows, key, lang, sample)
+    """Fit on ``sample`` different rows of each language at most, chosen by a hash of key and text; whole texts are read.
+
+    Every language is learned, however many there are (``SAMPLE_TOTAL``); null and hot keys are drawn like others.
+    """
+    rows = exact_sample(labelled.where(F.col(text).rlike(r"\p{L}")), key, text, lang, sample, SAMPLE_TOTAL)
 
     def make():
         def apply(texts, langs):
