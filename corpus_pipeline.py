@@ -28,15 +28,18 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents, the one with the least doc_id stays; documents without words stay.
+    """Of each component of similar documents, the row least by doc_id (null last) and hash of the text stays.
 
-    Rows are told apart by doc_id and a hash of the text, so rows that share a doc_id but not a text are judged one
-    by one; of repeated rows one stays. Texts are moved only where rows repeat.
+    Documents without words stay. Rows are told apart by doc_id and a hash of the text, so one row of a component stays
+    whatever ids its rows share or lack; of repeated rows one stays. Texts are moved only where rows repeat.
     """
     names = ["__id", "__hash"]
     named = _named(docs)
-    found = durable(jaccard.similar(named.select("doc_id", "text", *names), keep=tuple(names)).select("doc_id", *names, "n_shingles", "component_id"))
-    gone = sized(durable(found.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*names).distinct()))
+    found = durable(jaccard.similar(named.select("doc_id", "text", *names), keep=tuple(names)).select("doc_id", *names, "n_shingles", "component"))
+    linked = found.where("n_shingles > 0")
+    least = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", "__id")).alias("r"))
+    stay = sized(durable(least.select(*[F.col(f"r.{c}").alias(c) for c in names])))
+    gone = sized(durable(linked.select(*names).distinct().join(stay, names, "left_anti")))
     again = sized(durable(found.groupBy(*names).count().where("count > 1").select(*names)))
     kept = named.join(gone, names, "left_anti")
     first = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))

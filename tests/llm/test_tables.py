@@ -285,6 +285,15 @@ def test_stages(spark):
         df.unpersist()
 
 
+def test_one_row_of_a_component_stays_whatever_its_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k, at: " ".join(f"{k}{w}" if i != at else f"{k}other" for i, w in enumerate(base))
+    rows = [(7, near("a", i)) for i in (0, 1, 59)] + [(None, near("b", i)) for i in (0, 1, 59)]
+    rows += [(8, "Some Words  here and there"), (8, "some words here and there"), (9, near("c", 0)), (None, near("c", 59)), (5, near("d", 0)), (6, near("d", 59)), (7, ""), (7, None)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or " ")[0].lower()) for r in got) == [(False, 5, "d"), (False, 7, " "), (False, 7, " "), (False, 7, "a"), (False, 8, "s"), (False, 9, "c"), (True, 0, "b")]
+
+
 def test_language_stage_rejects_by_the_decoder(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     rnd = random.Random(8)

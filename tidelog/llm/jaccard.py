@@ -498,7 +498,8 @@ def across(shared: DataFrame, group: DataFrame, parts: int) -> DataFrame:
 
 
 def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The key and kept columns with n_shingles, class and component_id (the least key that links reach).
+    """The key and kept columns with n_shingles, class, component (its least class) and component_id (the least key
+    that links reach).
 
     Null texts and texts without words have no shingles and link with nothing, not even each other. Texts of fewer
     than five words are one shingle. Repeated rows and equal sets are one class; rows that share a key but not a
@@ -506,7 +507,7 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tupl
     result. Whole texts are read twice; classes are named by 64-bit digests and shingles by 48 bits of a hash.
     """
     spark = docs.sparkSession
-    keep = tuple(c for c in keep if c not in (key, "n_shingles", "class", "component_id", "__least"))
+    keep = tuple(c for c in keep if c not in (key, "n_shingles", "class", "component", "component_id", "__least"))
     rows = durable(measured(docs, text, (key, *keep)))
     some = rows.where("n_shingles > 0")
     classes = some.groupBy("class").agg(F.min(key).alias("__least"), F.first("n_shingles").alias("n"))
@@ -521,9 +522,9 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tupl
     label = components(stars.unionByName(more), parts).select(F.col("node").alias("class"), "comp")
     named = stored(classes.join(label, "class", "left").select("class", "__least", F.coalesce("comp", "class").alias("comp")).coalesce(parts))
     least = named.groupBy("comp").agg(F.min("__least").alias("component_id"))
-    named = named.join(least, "comp").select("class", "component_id")
-    alone = rows.where("n_shingles = 0").withColumn("component_id", F.col(key))
-    return some.join(named, "class").unionByName(alone).select(key, *keep, "n_shingles", "class", "component_id")
+    named = named.join(least, "comp").select("class", F.col("comp").alias("component"), "component_id")
+    alone = rows.where("n_shingles = 0").withColumns({"component": F.lit(None).cast("bigint"), "component_id": F.col(key)})
+    return some.join(named, "class").unionByName(alone).select(key, *keep, "n_shingles", "class", "component", "component_id")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
