@@ -90,6 +90,26 @@ def test_pii_learns_contexts(spark):
     assert got[101] == []
 
 
+def test_pii_identifiers_may_begin_with_a_digit(spark):
+    rows = [(i, f"word{chr(97 + i % 20)} passenger {i}{chr(97 + i)}{chr(98 + i % 7)}x@mail.example.com boards") for i in range(20)]
+    rows += [(100, "then passenger 9josmith boards quickly"), (101, "then passenger 99bob@host boards quickly")]
+    rows += [(102, "at 555 24-9abc and 555 (24a 5 or +33abc 12+ 10.0.0.1 " + "1.1." * 3000 + "x " + "1 2b " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii.extract(df).collect()}
+    assert got[100] == [("email", 15, 23)] and got[101] == [("email", 15, 25)]
+    near = [x["m"] for x in pii.scan(df.where("doc_id = 102"), "text").first()["near"]]
+    assert near[:5] == ["555", "24-9abc", "555", "24a", "5"] and len(near) == 5 + 1 + 1 + 6000
+
+
+def test_pii_patterns_are_judged_by_labelled_strings(spark):
+    phones = [(i, f"please call +1 988 55{i:02} 24{i:02} today") for i in range(40)]
+    local = [(100 + i, f"please call 55{i:02}-24{i:02} today") for i in range(25)]
+    mixed = [(200 + i, f"see ref{i}x {i}.0.0.{i} end") for i in range(10)] + [(300 + i, f"note item a{i}@b.org end") for i in range(10)] + [(400 + i, f"note item 10.0.{i}.1 end") for i in range(10)] + [(500, "note item z9z9 end")]
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii.extract(spark.createDataFrame(phones + local + mixed, "doc_id int, text string")).collect()}
+    assert all(got[100 + i] == [("phone", 12, 21)] for i in range(25))
+    assert got[500] == []
+
+
 def test_pii_redacts(spark):
     df = spark.createDataFrame([(1, "to a@b.c and 10.0.0.1 end"), (2, None), (3, "none")], "doc_id int, text string")
     found = pii.extract(df, keep=("doc_id", "text"))

@@ -28,8 +28,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Identifier-like strings: runs of digits with separators, and words with a digit or an at sign.
-IDENTIFIER = r"(?<![A-Za-z0-9._%+@-])(?:\+?[0-9](?:[\x20().-]*+[0-9])*+[A-Za-z_%@+]?+|(?=[A-Za-z._%-]*+[0-9@])[A-Za-z][A-Za-z0-9._%+@-]*+)"
+#: Identifier-like strings: words with a digit or an at sign (they may begin with a digit), and runs of digits with
+#: separators, up to where such a word begins.
+IDENTIFIER = r"(?<![A-Za-z0-9._%+@-])(?:(?=[0-9.+-]*+[A-Za-z_%@])[0-9][A-Za-z0-9._%+@-]*+|\+?[0-9](?:[.-]*+[0-9]|[.-]*+[\x20()][\x20().-]*+(?![0-9.+-]*+[A-Za-z_%@])[0-9])*+[A-Za-z_%@+]?+|(?=[A-Za-z._%-]*+[0-9@])[A-Za-z][A-Za-z0-9._%+@-]*+)"
 
 
 def _digits(m: Column) -> Column:
@@ -88,7 +89,8 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
     """One pass over the texts: base matches and identifier-like strings with the words beside them, without texts."""
 
     def kept(x: Column) -> Column:
-        return ~x["m"].rlike(r"^[+0-9].*[A-Za-z_%@+]$")
+        # digits after a plus sign, or before one, that go on in another way
+        return ~x["m"].rlike(r"^\+.*[A-Za-z_%@+]$|^[^A-Za-z_%@]*\+$")
 
     out = base_spans(docs, text)
     out = with_spans(out, text, "near", IDENTIFIER, kept, context=CONTEXT)
@@ -111,8 +113,9 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, pa
     """Confident patterns (pattern, kind, p) and the strings that they discover (m, kind, q).
 
     ``edges``: distinct (pattern, m, seed). A pattern's confidence is the summed confidence of its entities of a
-    kind divided by all distinct strings it extracts plus one; it needs ``support`` such entities. A string's is one minus the product of
-    its patterns' doubts. Seeds keep confidence 1 in their own kind. Ties go to the first kind by name.
+    kind divided by that of its entities of all kinds, plus one and the binary logarithm of one more than its strings
+    without a kind: these don't count as wrong, but the more there are, the more support it takes. It needs
+    ``support`` entities of the kind. A string's is one minus the product of its patterns' doubts. Seeds keep confidence 1 in their own kind. Ties go to the first kind by name.
     """
     labels = edges.where("seed IS NOT NULL").select("m", F.col("seed").alias("kind"), F.lit(1.0).alias("q")).distinct()
     reach = edges.groupBy("pattern").agg(F.count("*").alias("n"))
@@ -120,7 +123,9 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, pa
     for _ in range(rounds):
         known = labels if found is None else labels.unionByName(found)
         hit = edges.select("pattern", "m").join(known, "m").groupBy("pattern", "kind").agg(F.sum("q").alias("w"), F.count("*").alias("k"))
-        patterns = hit.join(reach, "pattern").select("pattern", "kind", (F.col("w") / (F.col("n") + 1)).alias("p"), "k").where((F.col("k") >= support) & (F.col("p") >= pattern_confidence))
+        whole = hit.groupBy("pattern").agg(F.sum("w").alias("all"), F.sum("k").alias("labelled")).join(reach, "pattern")
+        doubt = 1 + F.log2(1 + F.greatest(F.col("n") - F.col("labelled"), F.lit(0)))
+        patterns = hit.join(whole, "pattern").select("pattern", "kind", (F.col("w") / (F.col("all") + doubt)).alias("p"), "k").where((F.col("k") >= support) & (F.col("p") >= pattern_confidence))
         patterns = durable(patterns.select("pattern", "kind", "p"))
         strings = edges.where("seed IS NULL").select("pattern", "m").join(patterns, "pattern")
         scored = strings.groupBy("m", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.999)))))).alias("q"))
