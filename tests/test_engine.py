@@ -298,3 +298,9 @@ def test_streams_equal_the_batch(spark, tmp_path):
         assert sorted(tuple(r) for r in streams.stream_lww(spark, source).collect()) == want
     batch = {r["owner"]: (r["reads"], r["hits"]) for r in folds.lru_hit_ratio(oplog(spark, d)).collect()}
     assert {r["owner"]: (r["reads"], r["hits"]) for r in streams.stream_lru(spark, d).collect()} == batch
+
+
+def test_codec_roundtrip_over_the_whole_range(spark):
+    x = spark.range(500000).withColumn("code", hashing.encode_int(F.col("id")))
+    bad = x.where(~hashing.decode_int(F.col("code")).eqNullSafe(F.col("id")) | (F.length("code") != 8) | F.col("code").isNull())
+    assert x.count() == 500000 and bad.count() == 0
