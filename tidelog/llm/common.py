@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -21,14 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    The files survive the loss of an executor. A folder of our own is set only where the session has none.
+    Where it is unset, a session on one machine (master ``local``) gets a temporary one; on a cluster that is an error,
+    as executors would write to disks of their own.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidelog-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder. The files survive the loss of an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -38,14 +50,18 @@ def stored(df: DataFrame) -> DataFrame:
     Unlike a checkpoint it hands nothing of the old plan on. Iterative joins need that: constraints that a checkpoint
     keeps would multiply with every round.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidelog-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/tidelog-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Give memory that Arrow and the C library hold back to the system: workers live on when a task ends."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 #: Rows up to which a table of a few short fields is broadcast.
@@ -111,6 +127,8 @@ def map_text(
                 cols = [part.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
                 cols += [pa.array(c, type=arrow.field(len(keep) + i).type) for i, c in enumerate(found)]
                 yield pa.RecordBatch.from_arrays(cols, names=arrow.names)
+        del apply
+        release()
 
     return sent.mapInArrow(run, schema)
 

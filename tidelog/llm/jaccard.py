@@ -2,23 +2,28 @@
 
 1. Documents with equal shingle sets form a class; only classes go on.
 2. Shingles are dealt by hash, counted over classes, and those that two classes share go back to their classes, as
-   packed blocks. A class that shares fewer than three quarters of its shingles can't have a link and goes.
+   packed blocks. Shingles that very many classes have are counted as their texts are read, by partial sums, and never
+   meet in one place. A class that shares fewer than three quarters of its shingles can't have a link and goes.
 3. Similar classes are partitioned into groups: min-hash keys over the rarer half of the shared shingles bring
    classes together, and each is compared with a few pivots of its key, the most central classes first (those whose
    shingles are most widely shared: of copies with changes, the original). Verified links make the groups.
-4. The matrix holds, for each rare-first prefix shingle, the groups whose members have it, with their range of sizes: the
-   union of the members' prefixes. Two groups qualify if they meet in a prefix shingle within the bounds on size.
-   Qualifying groups are compared by their most central members first; pairs that stay apart are opened: their members are joined
-   by prefix shingles, size and position, and every candidate is verified. No true link can be missed: sets with
-   a similarity of 3/4 share a shingle of the longer one's first n - ceil(3n/4) + 1 and the shorter one's first
-   n - ceil(6n/7) + 1 shingles in any common order.
+4. The matrix holds each group's token union: every shingle that a member has, with the range of the sizes of those that
+   have it. A class is a query: the shingles of its prefix are sought in the unions of the other groups. How many are
+   there, and how many shingles follow the prefix, bounds its overlap with the union, and so with any member; groups
+   that fall short stay closed. Qualifying groups are compared by their most central members first; a group that stays
+   apart is opened for its query: members meet it in prefix shingles, within the bounds on size and position, and
+   every candidate is verified. No true link can be missed: sets with a similarity of 3/4 share ceil(3n/4) shingles of
+   the longer one's n, so at least l of any n - ceil(3n/4) + l of them; and they share a shingle of the longer one's
+   first n - ceil(3n/4) + 1 and the shorter one's first n - ceil(6n/7) + 1 shingles in any common order.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +31,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import chunks, durable, map_text, stored, table
+from tidelog.llm.common import chunks, durable, map_text, release, stored, table
 
 #: Words of a shingle; similarity as a share.
 SHINGLE, NUMER, DENOM = 5, 75, 100
-#: Shingles that a dealt block holds, about, and those that a task gathers before it deals them out.
-BLOCK_TOKENS, FLUSH_TOKENS = 3_000_000, 2_000_000
+#: Shingles that a task gathers before it deals them out, those of a bucket, about, and the least of a dealt block, on
+#: average: with more buckets than that allows, they are dealt out in two steps.
+FLUSH_TOKENS, BUCKET_TOKENS, BLOCK_LEAST = 1_500_000, 1_500_000, 64
+#: Classes of a chunk of texts that make a shingle common there; classes that make it hot, at least; and how many
+#: shingles can be hot (all shingles divided by this is the least number, so there can't be more; 16 bytes each).
+LOCAL, HOT, HOT_MOST = 4, 2000, 1_000_000
+#: Names of classes that a task remembers, so as not to deal copies again.
+SEEN = 200_000
 #: Members of a key's subgroup, about, pivots that a subgroup compares with, and keys that are tried in turn.
 SUBGROUP, PIVOTS, KEYS = 400, 8, 4
 #: Rows of a partition of the small tables (links, groups), about, and rows up to which one of them is broadcast.
@@ -123,17 +134,88 @@ def linked(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> bool:
 # ---------------------------------------------------------------- steps 1 and 2
 
 
+_COMMON = T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.LongType())]))
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values of a sorted array begin, and how long they are."""
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return at, np.diff(np.append(at, len(x)))
+
+
 def measured(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """Kept columns with n_shingles and the class of the shingle set."""
+    """Kept columns with n_shingles, the class of the shingle set, and ``common``.
+
+    That is null but in the last row of each chunk of texts: the shingles that LOCAL and more classes of the chunk have,
+    with the number of these classes.
+    """
 
     def make():
         def apply(texts):
             sets = shingles(texts)
-            return [[len(s) for s in sets], [class_of(s) for s in sets]]
+            names = [class_of(s) for s in sets]
+            common: list = [None] * len(sets)
+            own = np.sort(np.concatenate(list(dict(zip(names, sets)).values()))) & _LOW48
+            own.sort()
+            at, n = _runs(own)
+            many = n >= LOCAL
+            if many.any():
+                common[-1] = list(zip(own[at[many]].astype(np.int64).tolist(), n[many].tolist()))
+            return [[len(s) for s in sets], names, common]
 
         return apply
 
-    return map_text(docs, text, keep, [("n_shingles", T.LongType()), ("class", T.LongType())], make)
+    return map_text(docs, text, keep, [("n_shingles", T.LongType()), ("class", T.LongType()), ("common", _COMMON)], make)
+
+
+def hot_shingles(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that very many classes have (sorted), and the sums of their counts in the chunks where they are common.
+
+    At most HOT_MOST, whatever the corpus: their counts add up to no more than ``total``, the shingles of all rows.
+    """
+    least = max(HOT, -(-total // HOT_MOST))
+    found = rows.select(F.explode("common").alias("c")).groupBy("c.token").agg(F.sum("c.n").alias("n")).where(F.col("n") >= least).toArrow()
+    token, n = (found.column(c).to_numpy() for c in ("token", "n"))
+    order = np.argsort(token)
+    return token[order].astype(np.uint64), n[order].astype(np.int64)
+
+
+def _code(n: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits that keep their order: exact up to 2047, then with eleven leading bits."""
+    n = n.astype(np.int64)
+    shift = np.maximum(np.frexp(n.astype(float))[1] - 11, 0).astype(np.int64)
+    return (shift << 10) + (n >> shift)
+
+
+def _count(code: np.ndarray) -> np.ndarray:
+    """The counts of ``_code``, to one part in a thousand."""
+    code = code.astype(np.int64)
+    shift = np.maximum((code >> 10) - 1, 0)
+    return (code - (shift << 10)) << shift
+
+
+class Plan(NamedTuple):
+    """How shingles are dealt: partitions, buckets (handled one by one inside them), and buckets of a coarse bucket."""
+
+    parts: int
+    buckets: int
+    per: int
+
+    @classmethod
+    def of(cls, spark: SparkSession, total: int) -> Plan:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(1, math.ceil(total / BUCKET_TOKENS), min(parts, math.ceil(total / 200_000)))
+        return cls(min(parts, buckets), buckets, math.ceil(buckets / max(1, FLUSH_TOKENS // BLOCK_LEAST)))
+
+    def spot(self, x: np.ndarray) -> np.ndarray:
+        """Bucket of each 48-bit hash: ranges of equal width."""
+        return ((x >> np.uint64(16)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+
+    def of_token(self, names: np.ndarray, owner: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        return self.spot(tokens & _LOW48)
+
+    def of_class(self, names: np.ndarray, owner: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        return self.spot(names.astype(np.uint64) >> np.uint64(16))[owner]
 
 
 _BLOCK = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.BinaryType())])
@@ -178,38 +260,49 @@ def _deal(names, sizes, owner, tokens, bucket, width):
         yield int(bucket[a]), _pack(names[some[at]], sizes[some[at]], counts, tokens[a:b], width)
 
 
-def _batches(rows) -> pa.RecordBatch | None:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block"])
+def _row(bucket: int, block: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.binary())], names=["bucket", "block"])
 
 
-def labels_of(spark: SparkSession, buckets: int) -> np.ndarray:
-    """Numbers for the buckets that the session's hash partitioning spreads evenly over as many partitions."""
-    where = F.pmod(F.hash(F.col("id").cast("int")), F.lit(buckets)).alias("p")
-    first: dict[int, list[int]] = {}
-    for r in spark.range(8 * buckets + 64, numPartitions=1).select("id", where).toLocalIterator():
-        first.setdefault(r["p"], []).append(r["id"])
-    turns = sorted((turn, p, i) for p, ids in first.items() for turn, i in enumerate(ids))
-    return np.array([i for _, _, i in turns[:buckets]], np.int32)
+class _Dealer:
+    """Gathers classes with their shingles and deals them out as packed blocks, one for each bucket that occurs."""
 
+    def __init__(self, where: Callable, per: int, width: int, turn: Callable[[int], int] = lambda b: b):
+        self.where, self.per, self.width, self.turn = where, per, width, turn
+        self.parts: list[tuple] = []
+        self.names = self.held = 0
 
-def dealt_shingles(docs: DataFrame, text: str, labels: np.ndarray) -> DataFrame:
-    """Blocks of shingles by bucket; copies of a set that a task meets again are dealt once."""
-    buckets = len(labels)
+    def add(self, names: np.ndarray, sizes: np.ndarray, owner: np.ndarray, tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((names, sizes, owner.astype(np.int32) + np.int32(self.names), tokens))
+        self.names += len(names)
+        self.held += len(tokens)
+        if self.held >= FLUSH_TOKENS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            names, sizes, owner, tokens = (np.concatenate(c) for c in zip(*self.parts))
+            self.parts, self.names, self.held = [], 0, 0
+            for bucket, block in _deal(names, sizes, owner, tokens, self.where(names, owner, tokens) // self.per, self.width):
+                yield _row(self.turn(bucket), block)
 
-    def run(batches):
-        seen: set[int] = set()
-        names, sets, held = [], [], 0
 
-        def flush():
-            sizes = np.array([len(s) for s in sets], np.int64)
-            flat = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-            bucket = labels[((flat >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)]
-            for block in _deal(np.array(names, np.int64), sizes, owner, flat & _LOW48, bucket, 6):
-                yield _batches([block])
+def dealt_shingles(docs: DataFrame, text: str, plan: Plan, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Blocks of shingles by the shingle's bucket; copies of a set that a task meets again are dealt once.
 
+    Hot shingles are known to be shared and counted already. They go by the bucket of their class, which is written as a
+    negative number.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches):
+        common, count = shared.value
+        ordinary = _Dealer(plan.of_token, plan.per, 6)
+        apart = _Dealer(plan.of_class, plan.per, 8, lambda b: -1 - b)
+        seen: set[int] = set()
         for batch in batches:
             for at, n in chunks(batch.column(0)):
+                names, sets = [], []
                 for s in shingles(batch.column(0).slice(at, n).to_pylist()):
                     if len(s):
                         name = class_of(s)
@@ -217,68 +310,112 @@ def dealt_shingles(docs: DataFrame, text: str, labels: np.ndarray) -> DataFrame:
                             seen.add(name)
                             names.append(name)
                             sets.append(s)
-                            held += len(s)
-                if held >= FLUSH_TOKENS:
-                    yield from flush()
-                    names, sets, held = [], [], 0
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-        if sets:
-            yield from flush()
+                if len(seen) > SEEN:
+                    seen.clear()
+                if not sets:
+                    continue
+                names, sizes = np.array(names, np.int64), np.array([len(s) for s in sets], np.int64)
+                flat = np.concatenate(sets) & _LOW48
+                owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+                if len(common):
+                    place = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+                    wide = common[place] == flat
+                    key = (_code(count[place[wide]]).astype(np.uint64) << np.uint64(48)) | flat[wide]
+                    yield from apart.add(names, sizes, owner[wide], key)
+                    flat, owner = flat[~wide], owner[~wide]
+                yield from ordinary.add(names, sizes, owner, flat)
+        yield from ordinary.flush()
+        yield from apart.flush()
+        del seen
+        release()
 
     return docs.select(F.col(text).cast("string").alias("__text")).where("__text IS NOT NULL").mapInArrow(run, _BLOCK)
 
 
-def _by_bucket(blocks: DataFrame, buckets: int, run, schema) -> DataFrame:
-    """``run`` on the blocks of each bucket, which lie together; one bucket is in memory at a time."""
-    dealt = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+def _by_bucket(blocks: DataFrame, plan: Plan, make: Callable, schema, most: int | None = None, through: bool = False) -> DataFrame:
+    """``make()`` gives a function for the blocks of a bucket, which lie together, and one for the partition's end.
+
+    One bucket is in memory at a time, or about ``most`` bytes of it. With ``through``, blocks of negative buckets pass
+    as they are.
+    """
+    dealt = blocks.repartitionById(plan.parts, F.pmod("bucket", F.lit(plan.parts))).sortWithinPartitions("bucket")
 
     def each(batches):
-        now, held = None, []
+        step, end = make()
+        now, held, size = None, [], 0
         for batch in batches:
-            for b, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if b != now and held:
-                    yield from run(held)
-                    held = []
+            for b, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if through and b < 0:
+                    yield _row(b, block.as_py())
+                    continue
+                if held and (b != now or (most and size > most)):
+                    yield from step(held)
+                    held, size = [], 0
                 now = b
-                held.append(block)
+                held.append(block.as_py())
+                size += len(held[-1])
         if held:
-            yield from run(held)
+            yield from step(held)
+        yield from end()
+        del step, end, held
+        release()
 
     return dealt.mapInArrow(each, schema)
 
 
-def shared_blocks(blocks: DataFrame, labels: np.ndarray) -> DataFrame:
-    """Of each bucket, the shingles that two classes have, with the number of classes, dealt by class.
+def _refined(blocks: DataFrame, plan: Plan, where: Callable, width: int) -> DataFrame:
+    """Blocks of coarse buckets dealt out to the buckets themselves."""
+    if plan.per == 1:
+        return blocks
+
+    def make():
+        dealer = _Dealer(where, 1, width)
+
+        def step(held):
+            names, sizes, tokens, owner = _gather(held, width)
+            yield from dealer.add(names, sizes, owner, tokens)
+
+        return step, dealer.flush
 
-    A shingle becomes its number of classes (up to 65535) above its lower 48 bits, so plain order is rare-first.
+    return _by_bucket(blocks, plan, make, _BLOCK, most=8 * FLUSH_TOKENS, through=True)
+
+
+def shared_blocks(blocks: DataFrame, plan: Plan) -> DataFrame:
+    """The shingles that two classes have, with the number of classes, dealt by class; hot ones pass, turned round.
+
+    A shingle becomes the code of its number of classes above its lower 48 bits, so plain order is rare-first.
     """
-    buckets = len(labels)
-
-    def run(held):
-        names, sizes, tokens, owner = _gather(held, 6)
-        order = np.argsort(tokens)
-        tokens, owner = tokens[order], owner[order]
-        same = np.concatenate([[False], tokens[1:] == tokens[:-1], [False]])
-        twice = same[:-1] | same[1:]
-        tokens, owner = tokens[twice], owner[twice]
-        order = np.lexsort((owner, tokens))
-        tokens, owner = tokens[order], owner[order]
-        if not len(tokens):
-            return
-        fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])
-        tokens, owner = tokens[fresh], owner[fresh]
-        at = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        count = np.diff(np.append(at, len(tokens)))
-        count = np.repeat(count, count)
-        more = count > 1
-        tokens, owner, count = tokens[more], owner[more], count[more]
-        key = (np.minimum(count, 65535).astype(np.uint64) << np.uint64(48)) | tokens
-        bucket = labels[(names[owner].astype(np.uint64) % np.uint64(buckets)).astype(np.int64)]
-        for block in _deal(names, sizes.astype(np.int64), owner, key, bucket, 8):
-            yield _batches([block])
-
-    return _by_bucket(blocks, buckets, run, _BLOCK)
+
+    def make():
+        dealer = _Dealer(plan.of_class, plan.per, 8)
+
+        def step(held):
+            names, sizes, tokens, owner = _gather(held, 6)
+            order = np.argsort(tokens)
+            tokens, owner = tokens[order], owner[order]
+            same = np.concatenate([[False], tokens[1:] == tokens[:-1], [False]])
+            twice = same[:-1] | same[1:]
+            tokens, owner = _distinct(tokens[twice], owner[twice])
+            at, n = _runs(tokens)
+            n = np.repeat(n, n)
+            tokens, owner, n = tokens[n > 1], owner[n > 1], n[n > 1]
+            if len(tokens):
+                used, owner = np.unique(owner, return_inverse=True)
+                key = (_code(n).astype(np.uint64) << np.uint64(48)) | tokens
+                yield from dealer.add(names[used], sizes[used].astype(np.int64), owner, key)
+
+        return step, dealer.flush
+
+    found = _by_bucket(_refined(blocks, plan, plan.of_token, 6), plan, make, _BLOCK, through=True)
+    return found.select(F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")).alias("bucket"), "block")
+
+
+def _distinct(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a shingle and its class, sorted, without repetitions."""
+    order = np.lexsort((owner, tokens))
+    tokens, owner = tokens[order], owner[order]
+    fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]) if len(tokens) else np.zeros(0, bool)
+    return tokens[fresh], owner[fresh]
 
 
 _SURVIVOR = T.StructType(
@@ -294,31 +431,33 @@ def _min_keys(tokens: np.ndarray) -> list[int]:
     return [int(rare[_mix((rare & _LOW48) ^ salt).argmin()].astype(np.int64)) for salt in _SALTS]
 
 
-def survivors(blocks: DataFrame, buckets: int) -> DataFrame:
+def survivors(blocks: DataFrame, plan: Plan) -> DataFrame:
     """Classes that share at least three quarters of their shingles.
 
-    Name, set size, shared shingles rare-first, how widely they are shared on average, and the class's keys.
+    Name, set size, shared shingles rare-first, by how many classes they are shared on average, and the class's keys.
     """
 
-    def run(held):
-        names, sizes, tokens, owner = _gather(held, 8)
-        order = np.lexsort((tokens, owner))
-        tokens, owner = tokens[order], owner[order]
-        count = np.bincount(owner, minlength=len(names))
-        ends = np.cumsum(count)
-        keep = np.flatnonzero(count * DENOM >= sizes.astype(np.int64) * NUMER)
-        for a in range(0, len(keep), 1000):
-            some = keep[a : a + 1000]
-            own = [tokens[ends[i] - count[i] : ends[i]] for i in some]
-            keys = [_min_keys(x) for x in own]
-            central = [float((x >> np.uint64(48)).sum()) / int(sizes[i]) for x, i in zip(own, some)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[some], pa.int64()), pa.array(sizes[some].astype(np.int32), pa.int32()), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary()), pa.array(central, pa.float64())]
-                + [pa.array([k[j] for k in keys], pa.int64()) for j in range(KEYS)],
-                names=_SURVIVOR.names,
-            )
-
-    return _by_bucket(blocks, buckets, run, _SURVIVOR)
+    def make():
+        def step(held):
+            names, sizes, tokens, owner = _gather(held, 8)
+            owner, tokens = _distinct(owner, tokens)  # by class, then rare-first
+            count = np.bincount(owner, minlength=len(names))
+            ends = np.cumsum(count)
+            keep = np.flatnonzero(count * DENOM >= sizes.astype(np.int64) * NUMER)
+            for a in range(0, len(keep), 1000):
+                some = keep[a : a + 1000]
+                own = [tokens[ends[i] - count[i] : ends[i]] for i in some]
+                keys = [_min_keys(x) for x in own]
+                central = [float(_count(x >> np.uint64(48)).sum()) / int(sizes[i]) for x, i in zip(own, some)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[some], pa.int64()), pa.array(sizes[some].astype(np.int32), pa.int32()), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary()), pa.array(central, pa.float64())]
+                    + [pa.array([k[j] for k in keys], pa.int64()) for j in range(KEYS)],
+                    names=_SURVIVOR.names,
+                )
+
+        return step, lambda: iter(())
+
+    return _by_bucket(_refined(blocks, plan, plan.of_class, 8), plan, make, _SURVIVOR)
 
 
 # ---------------------------------------------------------------- step 3
@@ -372,12 +511,15 @@ def starred(shared: DataFrame, parts: int) -> DataFrame:
     member of a key with several subgroups is the first pivot of all of them.
     """
     edges = None
+    code = F.shiftrightunsigned("key", 48)
+    shift = F.greatest(F.floor(code / 1024) - 1, F.lit(0))
+    count = (code - shift * 1024) * F.pow(F.lit(2.0), shift)  # as _count has it
     for j in range(KEYS):
         active = shared if edges is None else shared.join(_sized(edges).select(F.col("a").alias("class")), "class", "left_anti")
         active = active.withColumn("key", F.col(f"k{j}"))
-        parts_of = F.ceil(F.shiftrightunsigned("key", 48) / SUBGROUP)
+        parts_of = F.ceil(count / SUBGROUP)
         placed = active.select("key", F.pmod(F.xxhash64("class"), parts_of).alias("part"), F.lit(1).alias("rank"), "central", "class", "n", "shared")
-        leads = active.select("class", "key", "central").where(F.shiftrightunsigned("key", 48) > SUBGROUP).groupBy("key").agg(F.max_by("class", F.struct("central", "class")).alias("class"))
+        leads = active.select("class", "key", "central").where(count > SUBGROUP).groupBy("key").agg(F.max_by("class", F.struct("central", "class")).alias("class"))
         first = shared.join(_sized(stored(leads.coalesce(parts))), "class").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), parts_of - 1)).alias("part"), F.lit(0).alias("rank"), "central", "class", "n", "shared")
         found = _stars(placed.unionByName(first)).where("a != b").distinct().coalesce(parts)
         edges = stored(found if edges is None else edges.unionByName(found).coalesce(parts)).coalesce(parts)
@@ -427,32 +569,61 @@ def _grouped(shared: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
 # ---------------------------------------------------------------- step 4
 
 
-_PREFIX = T.StructType([T.StructField("class", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("token", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("short", T.BooleanType())])
+_PREFIX = T.StructType([T.StructField("class", T.LongType()), T.StructField("g", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("token", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("long", T.BooleanType()), T.StructField("short", T.BooleanType())])
+_UNION = T.StructType([T.StructField("token", T.LongType()), T.StructField("g", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())])
+
+
+def least_met(n):
+    """Shingles of a query's prefix that must be in a group's union: an eighth of its set, and one more."""
+    return 1 + n // 8
 
 
 def prefixes(shared: DataFrame) -> DataFrame:
-    """Prefix shingles of each class: token, place in the rare-first order, and whether the shorter set's prefix has it.
+    """Prefix shingles of each class: token, place in the rare-first order, and whether the prefixes of the longer and
+    of the shorter set of a pair have it. All of them together are the prefix by which a class asks for groups.
 
     Shingles of one class only come first in that order and can't meet; they are counted, not stored.
     """
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for name, n, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            cols: list[list] = [[], [], [], [], [], [], []]
+            for name, g, n, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 x = np.frombuffer(blob, "<u8")
                 alone = n - len(x)
                 far, near = n - need(n) + 1 - alone, n - need_long(n) + 1 - alone
-                x = x[: max(far, 0)].astype(np.int64).tolist()
+                x = x[: max(far - 1 + least_met(n), 0)].astype(np.int64).tolist()
                 cols[0] += [name] * len(x)
-                cols[1] += [n] * len(x)
-                cols[2] += x
-                cols[3] += range(alone, alone + len(x))
-                cols[4] += [i < near for i in range(len(x))]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+                cols[1] += [g] * len(x)
+                cols[2] += [n] * len(x)
+                cols[3] += x
+                cols[4] += range(alone, alone + len(x))
+                cols[5] += [i < far for i in range(len(x))]
+                cols[6] += [i < near for i in range(len(x))]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=_PREFIX.names)
 
-    return shared.select("class", "n", "shared").mapInArrow(run, _PREFIX)
+    return shared.select("class", "g", "n", "shared").mapInArrow(run, _PREFIX)
+
+
+def unions(shared: DataFrame) -> DataFrame:
+    """The matrix: each group's token union (token, g), with the range of sizes of the members that have the token."""
+
+    def run(batches):
+        for batch in batches:
+            g, n, blobs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            for a in range(0, len(g), 2000):
+                sets = [np.frombuffer(x.as_buffer(), "<u8").astype(np.int64) for x in blobs[a : a + 2000]]
+                size = [len(x) for x in sets]
+                token, group, own = np.concatenate(sets), np.repeat(g[a : a + 2000], size), np.repeat(n[a : a + 2000], size)
+                order = np.lexsort((token, group))
+                token, group, own = token[order], group[order], own[order]
+                at = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])])) if len(token) else np.zeros(0, np.int64)
+                low, high = (f.reduceat(own, at) if len(at) else own for f in (np.minimum, np.maximum))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((token[at], group[at], low, high), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=_UNION.names)
+
+    found = shared.select("g", "n", "shared").mapInArrow(run, _UNION)
+    return found.groupBy("token", "g").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def verified(pairs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -472,27 +643,26 @@ def verified(pairs: DataFrame, shared: DataFrame) -> DataFrame:
 
 def across(shared: DataFrame, group: DataFrame, parts: int) -> DataFrame:
     """Links between groups (class, g), by the token-group matrix."""
-    tokens = stored(prefixes(shared).join(_sized(group), "class"))
-    sizes = (F.min("n").alias("low"), F.max("n").alias("high"))
-    probe = tokens.groupBy("token", "g").agg(*sizes).select("token", F.col("g").alias("ga"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    index = tokens.where("short").groupBy("token", "g").agg(*sizes).select("token", F.col("g").alias("gb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-    # the probe is the longer set: some member of it is no shorter than one of the index, and not too long for it
-    meet = probe.join(index, "token").where(f"ga != gb AND ha >= lb AND hb * {DENOM} >= la * {NUMER}")
-    meet = stored(meet.select("token", "ga", "gb", "lb", "hb"))
+    grouped = shared.join(_sized(group), "class")
+    matrix = stored(unions(grouped)).select("token", F.col("g").alias("gb"), "low", "high")
+    tokens = stored(prefixes(grouped))
+    # the query is the longer set, and no member of a group that is too short or too long can be linked with it
+    meet = tokens.select("token", F.col("class").alias("x"), F.col("g").alias("ga"), F.col("n").alias("nx")).join(matrix, "token")
+    meet = meet.where(f"ga != gb AND low <= nx AND high * {DENOM} >= nx * {NUMER}").groupBy("x", "ga", "nx", "gb").agg(F.count("*").alias("met"))
+    meet = stored(meet.where(F.col("met") >= 1 + F.floor(F.col("nx") / 8)).select("x", "ga", "gb").coalesce(parts))  # as least_met has it
     # a group is named by its most central class, which serves as its pivot
     once = stored(meet.select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).distinct().coalesce(parts))
     by_pivot = stored(verified(once, shared).coalesce(parts))
     merged = components(by_pivot, parts)
     to = lambda g, out: _sized(merged).select(F.col("node").alias(g), F.col("comp").alias(out))
     apart = meet.join(to("ga", "ca"), "ga", "left").join(to("gb", "cb"), "gb", "left")
-    apart = stored(apart.where("coalesce(ca, ga) != coalesce(cb, gb)").select("token", "ga", "gb", "lb", "hb"))
-    long = tokens.select("token", F.col("g").alias("ga"), F.col("class").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    apart = stored(apart.where("coalesce(ca, ga) != coalesce(cb, gb)").select("x", "gb").coalesce(parts))
+    # qualifying groups are opened: their members meet the query in prefix shingles
+    long = tokens.where("long").select("token", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
     short = tokens.where("short").select("token", F.col("g").alias("gb"), F.col("class").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"))
-    # only the meeting places of qualifying groups are opened, within the sizes that the other group has there
-    opened = long.join(_sized(apart), ["token", "ga"]).where(f"nx >= lb AND hb * {DENOM} >= nx * {NUMER}").drop("lb", "hb")
     # position bound: the shingles from the meeting place on must suffice for the overlap needed
     enough = f"least(nx - ax, ny - ay) * {NUMER + DENOM} >= {NUMER} * (nx + ny)"
-    fit = opened.join(short, ["token", "gb"]).where(f"x != y AND ny <= nx AND ny * {DENOM} >= nx * {NUMER} AND {enough}")
+    fit = long.join(_sized(apart), "x").join(short, ["token", "gb"]).where(f"x != y AND ny <= nx AND ny * {DENOM} >= nx * {NUMER} AND {enough}")
     candidates = stored(fit.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return by_pivot.unionByName(verified(candidates, shared))
 
@@ -503,20 +673,22 @@ def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tupl
 
     Null texts and texts without words have no shingles and link with nothing, not even each other. Texts of fewer
     than five words are one shingle. Repeated rows and equal sets are one class; rows that share a key but not a
-    text are separate. Where all keys of a component are null, component_id is null. An empty table gives an empty
-    result. Whole texts are read twice; classes are named by 64-bit digests and shingles by 48 bits of a hash.
+    text are separate. Where all keys of a component are null, component_id is null. A kept column that is called like a
+    result gives way to it, others may have any name. An empty table gives an empty result. Whole texts are read twice;
+    classes are named by 64-bit digests and shingles by 48 bits of a hash.
     """
     spark = docs.sparkSession
-    keep = tuple(c for c in keep if c not in (key, "n_shingles", "class", "component", "component_id", "__least"))
+    keep = tuple(c for c in keep if c not in (key, "n_shingles", "class", "component", "component_id", "common", "__least"))
     rows = durable(measured(docs, text, (key, *keep)))
+    every = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    hot = hot_shingles(rows, every)
+    rows = rows.drop("common")
     some = rows.where("n_shingles > 0")
     classes = some.groupBy("class").agg(F.min(key).alias("__least"), F.first("n_shingles").alias("n"))
     size = classes.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
-    total = size["n"] or 0
     parts = max(1, math.ceil(size["k"] / SMALL))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BLOCK_TOKENS)) if total > BLOCK_TOKENS else max(1, math.ceil(total / 250_000))
-    labels = labels_of(spark, buckets)
-    shared = durable(survivors(shared_blocks(dealt_shingles(docs, text, labels), labels), buckets))
+    plan = Plan.of(spark, size["n"] or 0)
+    shared = durable(survivors(shared_blocks(dealt_shingles(docs, text, plan, hot), plan), plan))
     stars = starred(shared, parts)
     more = stored(across(shared, _grouped(shared, stars, parts), parts).coalesce(parts))
     label = components(stars.unionByName(more), parts).select(F.col("node").alias("class"), "comp")
