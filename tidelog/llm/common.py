@@ -138,19 +138,6 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def hash_sample(df: DataFrame, key: str, label: str, most: int, max_labels: int = 256) -> DataFrame:
-    """About ``most`` rows of each label at most, chosen by a hash of the key: a bounded training sample.
-
-    One small aggregate counts the labels (the ``max_labels`` largest are used); no row is ordered or moved.
-    """
-    counts = df.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
-    spot = F.pmod(F.xxhash64(F.lit("sample"), F.col(f"`{key}`").cast("string")), F.lit(1 << 30))
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col(label) == F.lit(r[0])) & (spot < F.lit(int(min(1.0, most / r[1]) * (1 << 30)))))
-    return df.where(keep)
-
-
 def exact_sample(df: DataFrame, key: str, text: str, label: str, most: int, total: int) -> DataFrame:
     """(text, label): different rows of each label that isn't null, by a hash of key and text; repeated rows count once.
 

@@ -14,16 +14,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import crc_mod, durable, hash_sample, map_text, table
+from tidelog.llm.common import crc_mod, durable, exact_sample, map_text, table
 
-#: Labelled rows of each label that are learned from at most, about.
+#: Labelled documents of each label that are learned from at most. Nothing else bounds the lexicon and the phrases.
 SAMPLE = 5000
-#: Entries of the lexicon, and exception phrases, at most.
-LEXICON, EXCEPTIONS = 2000, 2000
 #: An entry is in so many toxic documents at least, with so large a logarithm of the odds ratio and so large a
 #: likelihood ratio (2 ln) against no association.
 SUPPORT, LOG_ODDS, LIKELIHOOD = 4, 3.0, 20.0
@@ -151,34 +149,42 @@ def _signals(total: float, n: int, n_words: int) -> tuple[float, float, float]:
     return float(n > 0), math.log1p(total), math.log1p(100 * total / (n_words + 20))
 
 
-def chosen(docs: DataFrame, labels: DataFrame, toxic: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
-    """The documents of about ``sample`` rows of each label, and how many rows each label has.
+def chosen(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
+    """(text, toxic) of ``sample`` documents of each label at most, and how many keys each label has.
 
-    The sample is drawn from the labels alone. Its size is bounded, so it is broadcast, and no text is moved but the
-    sample's.
+    A key with several labels is toxic if one of them says so; null keys and other labels are left out. ``sample`` keys of
+    each label are drawn from the labels alone, by a hash, and broadcast, so no text is moved but the sample's. Documents
+    that share a key share its label, and the sample is cut again by key and text: no hot key makes it larger.
     """
-    labels = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(toxic).cast("int").alias(toxic))
-    totals = {r[0]: r[1] for r in labels.groupBy(toxic).count().collect()}
-    drawn = durable(hash_sample(labels, key, toxic, sample))
-    return durable(docs.join(F.broadcast(drawn), key)), totals
-
-
-def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", sample: int = SAMPLE, totals: dict[int, int] | None = None) -> dict:
-    """Lexicon, exceptions and curve from about ``sample`` rows of each label, chosen by a hash of the key.
-
-    Rows with null text or another label are left out; with one label only, all texts score alike. ``totals`` says how
-    often each label occurs where ``labelled`` is a sample itself.
+    rows = labels.where(F.col(f"`{toxic}`").isin(0, 1) & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{toxic}`").cast("int").alias("toxic"))
+    rows = rows.groupBy("key").agg(F.max("toxic").alias("toxic"))
+    totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    spot = F.pmod(F.xxhash64(F.lit("sample"), F.col("key").cast("string")), F.lit(1 << 30))
+    share = F.lit(0.0)
+    for label, n in totals.items():
+        share = F.when(F.col("toxic") == label, min(1.0, (2 * sample + 20) / n)).otherwise(share)
+    near = rows.withColumn("spot", spot).where(F.col("spot") < share * (1 << 30))
+    order = Window.partitionBy("toxic").orderBy("spot", "key")
+    drawn = durable(near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).select("key", "toxic"))
+    found = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(drawn), "key")
+    return durable(exact_sample(found, "key", "text", "toxic", sample, 2 * sample)), totals
+
+
+def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", sample: int = SAMPLE, totals: dict[int, int] | None = None) -> dict:
+    """Lexicon, exceptions and curve from ``sample`` different texts of each label at most, chosen by a hash.
+
+    Null texts and other labels are left out; with one label only, all texts score alike. Entries are chosen by support,
+    odds and likelihood alone. ``totals`` says how often each label occurs where ``labelled`` is a sample itself.
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(toxic).isin(0, 1)).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic"))
-    rows = hash_sample(rows, "key", "toxic", sample)
+    rows = labelled.where(F.col(f"`{toxic}`").isin(0, 1)).select(F.col(f"`{text}`").alias("text"), F.col(f"`{toxic}`").cast("int").alias("toxic"))
+    rows = durable(exact_sample(rows, "text", "text", "toxic", sample, 2 * sample))
 
     def make():
         return lambda texts: [[signature(t) for t in texts]]
 
     # of near copies one is enough: the others would make all of its words look telling
-    rows = map_text(rows, "text", ["key", "text", "toxic"], [("signature", T.LongType())], make)
-    rows = rows.groupBy("signature", "toxic").agg(F.min(F.struct("key", "text")).alias("r")).select("r.key", "r.text", "toxic")
-    rows = durable(rows)
+    rows = map_text(rows, "text", ["text", "toxic"], [("signature", T.LongType())], make)
+    rows = durable(rows.groupBy("signature", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
@@ -188,25 +194,24 @@ def train(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: st
     part = lambda x, whole, of: F.when(x > 0, x * F.log(x * (n1 + n0) / (whole * of))).otherwise(0.0)
     ratio = 2 * (part(a, a + b, n1) + part(b, a + b, n0) + part(n1 - a, n1 + n0 - a - b, n1) + part(n0 - b, n1 + n0 - a - b, n0))
     best = _counted(rows, None).where(a >= SUPPORT).withColumns({"w": odds, "g": ratio}).where((F.col("w") >= LOG_ODDS) & (F.col("g") >= LIKELIHOOD))
-    best = best.orderBy(F.desc("g"), F.desc(F.length("gram")), "gram").limit(4 * LEXICON).collect()
+    best = best.orderBy(F.desc("g"), F.desc(F.length("gram")), "gram").collect()
     known = {r["gram"]: (r["toxic"], r["w"]) for r in best}
     covered = {f"{r['gram'][:k]}*" for r in best for k in range(STEM[0], len(r["gram"])) if r["toxic"] >= COVERED * known.get(f"{r['gram'][:k]}*", (math.inf,))[0] and f"{r['gram'][:k]}*" != r["gram"]}
     lexicon = {g: w for g, (_, w) in known.items() if g not in covered}
-    lexicon = dict(list(lexicon.items())[:LEXICON])
     entries = dict(lexicon)
     if lexicon:
         share = n1 / max(n0, 1)
         bad = _counted(rows, lexicon).where((b >= 5) & (b * share > 2 * a))
-        entries |= {r["gram"]: 0.0 for r in bad.orderBy(F.desc("clean"), "gram").limit(EXCEPTIONS).collect()}
+        entries |= {r["gram"]: 0.0 for r in bad.collect()}
     model = {"entries": entries, "curve": None}
-    seen = score(rows, model, keep=("key", "toxic"), raw=True).select("toxic", "total", "n", "n_words").collect()
+    seen = score(rows, model, keep=("toxic",), raw=True).select("toxic", "total", "n", "n_words").collect()
     x = np.array([(1.0, *_signals(r["total"], r["n"], r["n_words"])) for r in seen]).reshape(len(seen), 4)
     y = np.array([r["toxic"] for r in seen], float)
     base = math.log((n1 + 1) / (n0 + 1))
     curve = np.array([base, 0.0, 0.0, 0.0])
     share = y.mean() if len(y) else 0.0
     # rows weigh as the labels occur in the whole table, not as in the sample
-    whole = totals or {r[0]: r[1] for r in labelled.where(F.col(toxic).isin(0, 1)).groupBy(F.col(toxic).cast("int")).count().collect()}
+    whole = totals or {r[0]: r[1] for r in labelled.where(F.col(f"`{toxic}`").isin(0, 1)).groupBy(F.col(f"`{toxic}`").cast("int")).count().collect()}
     weight = np.where(y == 1, whole.get(1, 0) / max(n1, 1), whole.get(0, 0) / max(n0, 1))
     if 0 < share < 1:
         weight /= weight.sum()
@@ -223,7 +228,9 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
     """Kept columns with score (0 to 1) and n_matches; with ``raw`` the sums behind it (total, n, n_words).
 
     Null and empty texts score as texts without a match. Very long texts are read whole, in linear time; repeated
-    rows have repeated results; an empty table gives an empty result; without labels all texts score alike.
+    rows have repeated results; an empty table gives an empty result; without labels all texts score alike. A kept
+    column that is called like a result gives way to it; others, ``toxic`` among them, may have any name. Where matches
+    tie, the longest counts, then the first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     if raw:
