@@ -77,6 +77,27 @@ def test_similar_without_pivots(spark, monkeypatch):
     assert similar(spark, rows) == components_brute(rows)
 
 
+def test_similar_with_hot_shingles_and_two_steps_of_dealing(spark, monkeypatch):
+    """Hot shingles counted apart, more buckets than a block allows, and groups that only the overlap bound can open."""
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    monkeypatch.setattr(jaccard.Plan, "of", classmethod(lambda cls, spark, total: cls(3, 40, 7)))
+    rows = near_copies(6)
+    line = " ".join(f"licence{i}" for i in range(20))
+    rows += [(1000 + i, f"{line} " + " ".join(f"own{i}x{j}" for j in range(i % 9))) for i in range(60)]
+    hot = []
+    was = jaccard.hot_shingles
+    monkeypatch.setattr(jaccard, "hot_shingles", lambda rows, total: hot.append(was(rows, total)) or hot[-1])
+    assert similar(spark, rows) == components_brute(rows)
+    assert len(hot[0][0]) >= 16 and (np.diff(hot[0][0].astype(np.int64)) > 0).all()
+
+
+def test_counts_keep_their_order_in_sixteen_bits():
+    n = np.unique(np.concatenate([np.arange(5000), 2 ** np.arange(12, 40), 2 ** np.arange(12, 40) - 1, 2 ** np.arange(12, 40) + 7]))
+    code = jaccard._code(n)
+    assert (np.diff(code) >= 0).all() and code.max() < 1 << 16
+    assert (jaccard._count(code[n < 2048]) == n[n < 2048]).all() and np.allclose(jaccard._count(code), n, rtol=1e-3)
+
+
 def test_similar_large_keys_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SUBGROUP", 3)
     rows = near_copies(5, groups=3, size=40)
@@ -158,8 +179,77 @@ def test_warc_files(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(warc.build(r)) for r in records) + gzip.compress(warc.build(records[4])[:-20]) + gzip.compress(warc.build(records[4]))[:-30])
     (tmp_path / "c.warc").write_bytes(b"")
     got = warc.read_warc(spark, str(tmp_path)).collect()
-    assert len(got) == 10
-    assert sorted((r["record_id"], bytes(r["payload"]), r["http"]["etag"], r["status"]) for r in got) == sorted((r["record_id"], r["payload"], '"e"', 200) for r in records * 2)
+    bad = [r for r in got if r["error"]]
+    assert sorted(r["error"] for r in bad) == ["cut off", "damaged member"] and all(r["record_id"] is None for r in bad)
+    good = [r for r in got if not r["error"]]
+    assert sorted((r["record_id"], bytes(r["payload"]), r["http"]["etag"], r["status"]) for r in good) == sorted((r["record_id"], r["payload"], '"e"', 200) for r in records * 2)
+
+
+def test_warc_damage_costs_one_record():
+    records = [{"type": "response", "record_id": f"<r{i}>", "url": f"http://a.org/{i}", "date": "2024-01-01T00:00:00Z", "payload": bytes(random.Random(i).choices(range(256), k=3000))} for i in range(8)]
+    members = [gzip.compress(warc.build(r)) for r in records]
+    for which in (0, 3, 7):
+        broken = list(members)
+        broken[which] = members[which][:1500] + b"\xff\x00" * 20 + members[which][1540:]
+        got = [r["record_id"] for r in warc.parse(b"".join(broken)) if not r["error"]]
+        assert got == [f"<r{i}>" for i in range(8) if i != which]
+        cut = list(members)
+        cut[which] = members[which][:1500]
+        assert [r["record_id"] for r in warc.parse(b"".join(cut)) if not r["error"]] == [f"<r{i}>" for i in range(8) if i != which]
+    plain = b"".join(map(warc.build, records))
+    assert [r["error"] for r in warc.parse(plain[:-50])] == [None] * 7 + ["cut off"]
+
+
+def test_warc_reader_is_linear():
+    import time
+
+    member = gzip.compress(warc.build({"type": "response", "record_id": "<r>", "url": "http://a.org/", "date": "2024-01-01T00:00:00Z", "payload": b"x"}))
+    took = []
+    for n in (20_000, 80_000):
+        data = member * n
+        began = time.process_time()
+        assert sum(1 for _ in warc.parse(data)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
+def test_files_to_resolved_payloads(spark, tmp_path):
+    def one(i, kind, url, date, payload=b"", http=None, headers=None):
+        return warc.build({"type": kind, "record_id": f"<r{i}>", "url": url, "date": date, "status": 200 if kind == "response" else 304, "http": http or {}, "payload": payload, "headers": headers})
+
+    same = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+    rows = [
+        one(1, "response", "http://www.a.org:80/x/", "2024-01-01T00:00:00Z", b"first", {"ETag": '"1"'}, {"WARC-Payload-Digest": "sha1:AAAA"}),
+        one(2, "revisit", "https://u:p@A.org:443/x?utm_a=1", "2024-01-02T00:00:00Z", http={"ETag": 'W/"1"'}),
+        one(3, "response", "http://a.org/x", "2024-01-03T00:00:00Z", b"second", {"ETag": '"2"'}, {"WARC-Payload-Digest": "sha1:BBBB"}),
+        one(4, "revisit", "http://a.org/x", "2024-01-04T00:00:00Z", headers=same | {"WARC-Payload-Digest": "sha1:bbbb"}),
+        one(5, "revisit", "http://b.org/y", "2024-01-05T00:00:00Z", headers=same | {"WARC-Payload-Digest": "sha1:AAAA", "WARC-Refers-To-Target-URI": "http://a.org/x", "WARC-Refers-To-Date": "2024-01-01T00:00:00Z"}),
+        one(6, "revisit", "http://a.org/x", "2024-01-06T00:00:00Z", headers=same | {"WARC-Payload-Digest": "sha1:AAAA"}),
+        one(7, "revisit", "http://a.org/x", "not a date", http={"ETag": '"2"'}),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, rows)))
+    read = warc.read_warc(spark, str(tmp_path))
+    got = warc.with_payloads(warc.resolve(warc.to_records(read)), read).collect()
+    assert {r["record_id"]: (r["status"], r["refers_to"], r["payload"] and bytes(r["payload"])) for r in got} == {
+        "<r1>": ("full", None, b"first"), "<r2>": ("resolved", "<r1>", b"first"), "<r3>": ("full", None, b"second"), "<r4>": ("resolved", "<r3>", b"second"),
+        "<r5>": ("resolved", "<r1>", b"first"), "<r6>": ("changed", None, None), "<r7>": ("missing", None, None),
+    }
+
+
+def test_canonical_urls(spark):
+    rows = [("http://u:p@WWW.A.org:80/x/?b=2&utm_s=1&a=1#f", "a.org/x?a=1&b=2"), ("https://a.org:443", "a.org"), ("https://a.org:80/", "a.org:80"), ("http://a.org/?", "a.org"), ("no scheme#x", "no scheme"), (None, None), ("", "")]
+    got = spark.createDataFrame([(u,) for u, _ in rows], "u string").select(warc.canonical(F.col("u"))).collect()
+    assert [r[0] for r in got] == [c for _, c in rows]
+
+
+def test_revisits_query_has_every_status_and_keeps_columns(spark):
+    got = warc.op5_revisits(spark, "/root/testdata/sf0.01").groupBy("status").count().collect()
+    assert {r["status"] for r in got if r["count"] >= 20} == {"full", "resolved", "changed", "unchecked", "missing"}
+    rows = [record(1, "http://a.org/", 1, "response", {"etag": "e"}, "s", 1), record(1, "http://a.org/", 1, "response", {"etag": "f"}, "t", 2), record(1, "http://a.org/", 1, "revisit", {"etag": "f"})]
+    df = spark.createDataFrame(rows, RECORDS).withColumns({"status": F.lit("own"), "digest": F.lit(None).cast("string"), "kept": F.col("url")})
+    found = [(r["type"], r["status"], r["payload_sha256"], r["kept"]) for r in warc.resolve(df, keep=("status", "kept")).collect()]
+    # equal in time and id: ordered by type, then digest
+    assert sorted(found) == [("response", "full", "s", "http://a.org/"), ("response", "full", "t", "http://a.org/"), ("revisit", "resolved", "t", "http://a.org/")]
 
 
 # ---------------------------------------------------------------- URLs
