@@ -2,7 +2,7 @@
 
 HTML is parsed to an ordered sequence of text and media-reference structs, with the caption and the position of
 each reference. Media are stored losslessly in PNG form (8-bit grey samples, 64 to a row) in a content-addressed
-table; a join on the digest resolves the references, so that positions, captions and media stay aligned.
+table; a join on the digest resolves the references to payloads, so that positions, captions and media stay aligned.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import binascii
 import hashlib
 import html as html_text
+import math
 import struct
 import zlib
 from html.parser import HTMLParser
@@ -19,10 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import durable, map_text, table
+from tidelog.llm.common import durable, map_text, release, table
 
 #: Samples of a row.
 WIDTH = 64
+#: References of one digest that may meet in one task, and how many digests can have more (all references divided by this
+#: is the least number of a hot one, so there can't be more; they are broadcast).
+HOT_REFS, HOT_DIGESTS = 500, 10_000
 ITEM = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("caption", T.StringType())])
 _SILENT = ("script", "style", "template", "noscript")
 _BLOCKS = ("p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "th", "blockquote", "pre", "br", "hr", "title", "nav", "footer", "header", "body", "head", "html", "figure", "main", "aside", "form")
@@ -100,7 +104,11 @@ def sequence(page: str | None) -> list[dict]:
 
 
 def sequences(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Kept columns with ``items``: array of (position, kind, text, ref, digest, caption) in document order."""
+    """Kept columns with ``items``: array of (position, kind, text, ref, digest, caption) in document order.
+
+    Null and empty pages have no items; very long pages are parsed whole, in linear time; repeated rows have repeated
+    results. A kept column that is called ``items`` gives way; others may have any name.
+    """
 
     def make():
         return lambda pages: [[sequence(p) for p in pages]]
@@ -157,73 +165,127 @@ def feature(payload: bytes) -> str:
     return f"rows={len(x) // WIDTH};distinct={int((counts > 0).sum())};sum={int((counts * value).sum())};squares={int((counts * value * value).sum())};bins=" + ",".join(map(str, bins.tolist()))
 
 
-def to_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Each text's payload as media, and an HTML page that refers to it: kept columns, n_bytes, digest, media, html."""
-    fields = [("n_bytes", T.LongType()), ("digest", T.StringType()), ("media", T.BinaryType()), ("html", T.StringType())]
+def page_of(text: str | None, digest: str) -> str:
+    """An HTML page with the lines of a text as paragraphs, and a figure of the media named after the first half of them."""
+    lines = [x for x in (text or "").split("\n") if x.strip()]
+    body = [f"<p>{html_text.escape(x)}</p>" for x in lines]
+    n = len((text or "").encode("utf-8", "surrogatepass"))
+    figure = f'<figure><img src="digest:sha256/{digest}" alt="text"><figcaption>{n} bytes</figcaption></figure>'
+    half = (len(body) + 1) // 2
+    return "".join(["<article>", *body[:half], figure, *body[half:], "</article>"])
+
+
+def to_pages(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Kept columns with n_bytes and ``html``: each text as a page that shows its media between its paragraphs."""
 
     def make():
         def apply(texts):
-            n_bytes, digests, media, pages = [], [], [], []
+            n_bytes, pages = [], []
             for t in texts:
                 n, payload = payload_of(t)
-                stored = to_png(payload)
-                digest = hashlib.sha256(stored).hexdigest()
-                caption = html_text.escape(f"{n} bytes")
                 n_bytes.append(n)
-                digests.append(digest)
-                media.append(stored)
-                pages.append(f'<article><figure><img src="digest:sha256/{digest}" alt="text"><figcaption>{caption}</figcaption></figure></article>')
-            return [n_bytes, digests, media, pages]
+                pages.append(page_of(t, hashlib.sha256(to_png(payload)).hexdigest()))
+            return [n_bytes, pages]
 
         return apply
 
-    return map_text(docs, text, keep, fields, make)
+    return map_text(docs, text, keep, [("n_bytes", T.LongType()), ("html", T.StringType())], make)
+
 
+def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The content-addressed table of the texts' media: digest, media; equal texts may have a row each."""
+
+    def make():
+        def apply(texts):
+            media = [to_png(payload_of(t)[1]) for t in dict.fromkeys(t or "" for t in texts)]
+            return [[hashlib.sha256(m).hexdigest() for m in media], media]
+
+        return apply
 
-def described(store: DataFrame, digest: str = "digest", media: str = "media") -> DataFrame:
-    """One row per digest of a media table: the samples' bytes, sum and tail sum, the stored form's, and features.
+    return map_text(docs, text, [], [("digest", T.StringType()), ("media", T.BinaryType())], make, rows=True)
 
-    The stored bytes are read back and the digest is checked against them; only figures leave the pass, so the join
-    that follows moves no media.
+
+_RESOLVED = ("position", "ref", "caption", "digest", "media", "n_items", "texts_sha256")
+
+
+def resolve(sequenced: DataFrame, store: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """One row per media reference: kept columns, position, ref, caption, digest, and the media that the digest names.
+
+    Also n_items, and the digest of the sequence's texts (joined by line feeds). References that no media has, or without a
+    digest, stay with null media. ``store``: digest, media; rows of one digest count once. A digest that very many
+    references share (they are counted first) is dealt out in parts, and its one row of the store goes to each of them.
+    Repeated rows have a row each; empty tables give empty results. A kept column that is called like a result gives way;
+    others may have any name.
+    """
+    keep = tuple(c for c in keep if c not in _RESOLVED)
+    texts = F.array_join(F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"]), "\n")
+    # kept columns travel in a struct, so their names clash with nothing
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
+    refs = sequenced.select(kept.alias("kept"), F.explode("items").alias("item"), F.size("items").alias("n_items"), F.sha2(texts.cast("binary"), 256).alias("texts_sha256")).where("item.kind = 'media'")
+    refs = durable(refs.select("kept", "n_items", "texts_sha256", "item.position", "item.ref", "item.caption", "item.digest"))
+    most = max(HOT_REFS, math.ceil(refs.count() / HOT_DIGESTS))
+    hot = refs.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    hot = F.broadcast(durable(hot.select("digest", F.ceil(F.col("n") / most).cast("int").alias("parts"))))
+    parts = F.coalesce("parts", F.lit(1))
+    # the references are a stored table, so a row has the same number whenever it is read
+    dealt = refs.where("digest IS NOT NULL").withColumn("row", F.monotonically_increasing_id()).join(hot, "digest", "left").withColumn("part", F.pmod("row", parts).cast("int")).drop("row", "parts")
+    single = store.where("digest IS NOT NULL").groupBy("digest").agg(F.first("media").alias("media")).join(hot, "digest", "left")
+    single = single.select("digest", "media", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    found = dealt.join(single, ["digest", "part"], "left").drop("part")
+    rest = refs.where("digest IS NULL").withColumn("media", F.lit(None).cast("binary"))
+    return found.unionByName(rest).select(*[F.col(f"kept.`{c}`").alias(c) for c in keep], *_RESOLVED)
+
+
+_FIGURES = T.StructType(
+    [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
+)
+
+
+def _figures(name: str | None, media: bytes | None) -> tuple:
+    if media is None:
+        return (None,) * len(_FIGURES)
+    own = hashlib.sha256(media).hexdigest()
+    if own != name:
+        raise ValueError(f"stored media {name} has another digest: {own}")
+    payload = from_png(media)
+    return len(payload), hashlib.sha256(payload).hexdigest(), binascii.crc32(payload[-WIDTH:]), len(media), own, feature(payload)
+
+
+def described(resolved: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Kept columns with the figures of each row's media: the samples' bytes, sum and tail sum, the stored form's, features.
+
+    The stored bytes are read back and held against their digest. Null media have null figures. Rows of one digest that
+    follow each other are computed once.
     """
-    schema = T.StructType(
-        [T.StructField("digest", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
-    )
+    keep = tuple(c for c in keep if c not in _FIGURES.names)
+    schema = T.StructType([*(resolved.schema[c] for c in keep), *_FIGURES])
 
     def run(batches):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        arrow = to_arrow_schema(schema)
+        last = None, (None,) * len(_FIGURES)
         for batch in batches:
             rows = []
-            for name, stored in zip(batch.column(0), batch.column(1)):
-                name, stored = name.as_py(), stored.as_py()
-                own = hashlib.sha256(stored).hexdigest()
-                if own != name:
-                    raise ValueError(f"stored media {name} has another digest: {own}")
-                payload = from_png(stored)
-                rows.append((name, len(payload), hashlib.sha256(payload).hexdigest(), binascii.crc32(payload[-WIDTH:]), len(stored), own, feature(payload)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[f.name for f in schema])
+            for name, media in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1)):
+                if name is None or name != last[0] or not media.is_valid:
+                    last = (name if media.is_valid else None), _figures(name, media.as_py())
+                rows.append(last[1])
+            columns = [batch.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
+            columns += [pa.array([r[i] for r in rows], arrow.field(len(keep) + i).type) for i in range(len(_FIGURES))]
+            yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
+        release()
 
-    return store.select(F.col(digest).alias("digest"), F.col(media).alias("media")).where("media IS NOT NULL").mapInArrow(run, schema).dropDuplicates(["digest"])
-
-
-def resolve(sequenced: DataFrame, described_media: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """One row per media reference, at its position and with its caption, joined with what its digest resolves to.
-
-    References that no media has stay, with nulls. The join moves digests and figures only; a digest that very many
-    documents refer to is left to the split of skewed joins, its side of the store being one row.
-    """
-    refs = sequenced.select(*keep, F.explode("items").alias("item")).where("item.kind = 'media'").select(*keep, "item.position", "item.ref", "item.caption", "item.digest")
-    return refs.join(described_media, "digest", "left")
+    return resolved.select(*[F.col(f"`{c}`") for c in keep], F.col("digest").alias("__digest"), F.col("media").alias("__media")).mapInArrow(run, schema)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of ``documents`` stored as media, referred to by a page, and resolved again.
+    """Every whole text of ``documents`` stored as media and shown between its paragraphs on a page, parsed and resolved.
 
     Null texts are empty; equal texts have equal values; an empty table gives an empty result.
     """
-    stored = durable(to_documents(table(spark, sf_dir, "documents", "doc_id", "text")))
-    sequenced = sequences(stored.select("doc_id", "n_bytes", "html"), keep=("doc_id", "n_bytes"))
-    found = resolve(sequenced, described(stored), keep=("doc_id", "n_bytes"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    sequenced = sequences(to_pages(docs), keep=("doc_id", "n_bytes"))
+    found = resolve(sequenced, to_media(docs), keep=("doc_id", "n_bytes"))
+    return described(found, ("doc_id", "n_bytes", "position", "caption", "n_items", "texts_sha256"))
