@@ -1,10 +1,12 @@
 """Secrets: base patterns, and a battery of randomness tests with length-aware control of false discoveries.
 
-Strings of 16 and more characters are read in their inferred encoding. Two questions are asked of each.
-Does the battery (chi-squared uniformity over the alphabet, runs about the middle symbol, serial correlation)
-reject that it is random? And is it more uniform than words written in that alphabet would be? The second gives a
-p-value under the null that the string is text; within strata of encoding and length, the Benjamini-Hochberg rule
-over all strings of the corpus picks the discoveries.
+Strings of 16 and more characters are read in their inferred encoding. Three tests ask whether each could be random:
+chi-squared uniformity over the alphabet, runs about the middle symbol, and serial correlation. Simes' rule combines
+their p-values to one, s. A discovery needs that the battery doesn't reject (s above a level), and that words would not
+pass it as well: under the null that a string is text, s is at least as large as seen with a probability of at most
+P(chi-squared of text <= x), x being the value whose p-value under randomness is s / 3. These p-values, one for each
+string, of all three tests and aware of its length, go through the Benjamini-Hochberg rule over all strings of the corpus,
+within strata of encoding and length.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import durable, joined, table, with_spans
+from tidelog.llm.common import durable, joined, release, table, with_spans
 
 KINDS = ("assign", "access", "hex")
-#: Level at which the battery rejects randomness (for the three tests together), and the false-discovery rate.
+#: Level of the combined p-value at which the battery rejects randomness, and the false-discovery rate.
 BATTERY, FDR = 0.003, 0.01
 #: Bins of the p-values' logarithm: the rule works on their counts, whose number doesn't grow with the corpus.
 P_BINS = 256
@@ -57,6 +59,18 @@ def _normal_tail(z: np.ndarray) -> np.ndarray:
     return np.where(z >= 0, tail, 1 - tail)
 
 
+def _normal_upper(p: np.ndarray) -> np.ndarray:
+    """The z with P(Z > z) = p for p up to 1/2, by the rational form of Abramowitz and Stegun 26.2.23."""
+    t = np.sqrt(-2 * np.log(np.clip(p, 1e-300, 0.5)))
+    return t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
+
+
+def simes(*p: np.ndarray) -> np.ndarray:
+    """One p-value for several: the least of the k-th smallest times their number by k."""
+    ordered = np.sort(np.stack(p), axis=0)
+    return np.minimum((ordered * len(p) / np.arange(1, len(p) + 1)[:, None]).min(0), 1.0)
+
+
 def _maps() -> np.ndarray:
     """Symbol of each byte in each encoding, -1 where it has none."""
     m = np.full((8, 256), -1, np.int64)
@@ -82,7 +96,8 @@ _MAPS = _maps()
 
 
 def battery(strings: list[str]) -> dict[str, np.ndarray]:
-    """Encoding, length, p-values of the three tests under randomness, and the p-value under the null of text."""
+    """Encoding, length, p-values of the three tests under randomness, their combination, and the p-value of that under
+    the null of text."""
     size = np.array([len(s.rstrip("=")) for s in strings], np.int64)
     raw = np.frombuffer("".join(s.rstrip("=") for s in strings).encode("ascii"), np.uint8)
     ends = np.cumsum(size)
@@ -129,9 +144,12 @@ def battery(strings: list[str]) -> dict[str, np.ndarray]:
     serial = 2 * _normal_tail(np.abs((r + 1 / n) * np.sqrt(n)))
     d = _excess()[enc]
     text_mean, text_sd = df + (n - 1) * d, np.sqrt(2 * df + 4 * (n - 1) * d)
-    text = _normal_tail((text_mean - x2) / text_sd)
+    random = simes(chi, run, serial)
+    # the chi-squared value that would have a third of the combined p-value: never below the string's own
+    equal = df * np.maximum(1 - 2 / (9 * df) + _normal_upper(random / 3) * np.sqrt(2 / (9 * df)), 0) ** 3
+    text = _normal_tail((text_mean - np.maximum(equal, x2)) / text_sd)
     text[only_digits] = 1.0
-    return {"encoding": enc, "n": size, "chi": chi, "runs": run, "serial": serial, "text": text}
+    return {"encoding": enc, "n": size, "chi": chi, "runs": run, "serial": serial, "random": random, "text": text}
 
 
 def _stratum(enc: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -160,6 +178,22 @@ def cutoffs(rows: list[tuple[int, int, int]], rate: float = FDR) -> dict[int, in
     return out
 
 
+def _rows_of(lists: pa.ListArray) -> np.ndarray:
+    """The row of each value of a list column."""
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+
+def _overlaps(strings: pa.StructArray, row: np.ndarray, base: pa.ListArray) -> np.ndarray:
+    """Which strings overlap a base match of their row; base matches are sorted by their start. Logarithmic for each."""
+    if not len(strings):
+        return np.zeros(0, bool)
+    of, spans = _rows_of(base), base.flatten()
+    place = lambda x, r: x.to_numpy(zero_copy_only=False).astype(np.int64) + (r.astype(np.int64) << 32)
+    begin, reach = place(spans.field("s"), of), np.maximum.accumulate(np.append(0, place(spans.field("e"), of)))
+    before = np.searchsorted(begin, place(strings.field("e"), row))  # those that begin before the string ends
+    return reach[before] > place(strings.field("s"), row)
+
+
 def scan(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     """One pass: base (array of kind, s, e by start and kind) and tested strings (s, e, stratum, bin, random)."""
     out = docs.select(*keep, F.col(text).alias("__text"))
@@ -173,8 +207,7 @@ def scan(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     base = F.array_sort(F.concat(*[of(i) for i in range(len(KINDS))]))
     names = F.array(*[F.lit(k) for k in KINDS])
     out = out.withColumn("base", F.transform(base, lambda x: F.struct(F.get(names, x["k"]).alias("kind"), x["s"].alias("s"), x["e"].alias("e"))))
-    free = F.filter("__strings", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    slim = F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+    slim = F.transform("__strings", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
     out = out.select(*keep, "base", slim.alias("__strings"))
     tested = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("s", "e", "stratum", "bin")] + [T.StructField("random", T.BooleanType())]))
     schema = T.StructType([*out.schema.fields[:-1], T.StructField("tested", tested)])
@@ -185,20 +218,22 @@ def scan(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
         arrow = to_arrow_schema(schema)
         for batch in batches:
             strings = batch.column(batch.num_columns - 1)
-            flat = strings.flatten()
+            flat, row = strings.flatten(), _rows_of(strings)
+            free = ~_overlaps(flat, row, batch.column(batch.num_columns - 2))
+            flat, row = flat.filter(pa.array(free)), row[free]
             kept = [batch.column(i).cast(arrow.field(i).type) for i in range(batch.num_columns - 1)]
             parts = []
             for a in range(0, len(flat), 20_000):
                 some = flat.slice(a, 20_000)
                 t = battery(some.field("m").to_pylist())
-                random = (np.minimum(np.minimum(t["chi"], t["runs"]), t["serial"]) * 3 > BATTERY) & (t["text"] < 1)
+                random = (t["random"] > BATTERY) & (t["text"] < 1)
                 columns = [some.field("s"), some.field("e"), pa.array(_stratum(t["encoding"], t["n"])), pa.array(_bin(t["text"])), pa.array(random)]
                 parts.append(pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow.field(len(kept)).type.value_type)], fields=list(arrow.field(len(kept)).type.value_type)))
             values = pa.concat_arrays(parts) if parts else pa.array([], arrow.field(len(kept)).type.value_type)
-            sizes = np.array([len(x) if x.is_valid else 0 for x in strings], np.int64) if len(strings) else np.zeros(0, np.int64)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
             tested_now = pa.ListArray.from_arrays(offsets, values).cast(arrow.field(len(kept)).type)
             yield pa.RecordBatch.from_arrays([*kept, tested_now], names=arrow.names)
+        release()
 
     return out.mapInArrow(run, schema)
 
@@ -208,11 +243,14 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
     ``spans`` has the base matches and strings of kind ``random`` that overlap none of them. Null and empty texts
     have none. Strings of digits only are never discoveries; words with hyphens, slashes or capitals are left to the
-    rule. Ties in p share a bin and are accepted together. Repeated rows have equal
-    results; an empty table gives an empty result. Texts are read once, whole; only counts are shuffled.
+    rule. Ties in p share a bin and are accepted together. Repeated rows have equal results; an empty table gives an empty
+    result; a kept column that is called like a result (base, spans) gives way to it, others may have any name. Texts are
+    read once, whole; only counts are shuffled.
     """
-    keep = tuple(c for c in keep if c not in ("base", "spans", "tested", *KINDS))
-    scanned = durable(scan(docs, text, keep))
+    keep = tuple(c for c in keep if c not in ("base", "spans"))
+    own = [f"__keep{i}" for i in range(len(keep))]  # kept columns travel under names of their own
+    docs = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(keep, own)], F.col(f"`{text}`").cast("string").alias("__given"))
+    scanned = durable(scan(docs, "__given", tuple(own)))
     counts = scanned.select(F.explode("tested").alias("t")).where("t.bin > 0 OR t.random").groupBy("t.stratum", "t.bin").count()
     totals = scanned.select(F.explode("tested").alias("t")).groupBy("t.stratum").count().collect()
     rows = [(r[0], r[1], r[2]) for r in counts.collect()]
@@ -224,7 +262,7 @@ def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     more = F.transform(hit, lambda x: F.struct(F.lit("random").alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     order = F.array(*[F.lit(k) for k in (*KINDS, "random")])
     ranked = F.array_sort(F.transform(F.concat("base", more), lambda x: F.struct(x["s"].alias("s"), F.array_position(order, x["kind"]).alias("k"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    return scanned.select(*keep, "base", F.transform(ranked, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("spans"))
+    return scanned.select(*[F.col(o).alias(c) for c, o in zip(keep, own)], "base", F.transform(ranked, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("spans"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
