@@ -110,11 +110,66 @@ def test_pii_patterns_are_judged_by_labelled_strings(spark):
     assert got[500] == []
 
 
+def redacted_brute(text, spans):
+    out, at = "", 0
+    for s, e, kind in sorted((s, e, k) for k, s, e in spans):
+        if s >= at:
+            out += text[at:s] + f"[{kind}]"
+        at = max(at, e)
+    return out + text[at:]
+
+
 def test_pii_redacts(spark):
-    df = spark.createDataFrame([(1, "to a@b.c and 10.0.0.1 end"), (2, None), (3, "none")], "doc_id int, text string")
-    found = pii.extract(df, keep=("doc_id", "text"))
-    got = {r[0]: r[1] for r in found.select("doc_id", pii.redacted(F.col("text"), F.col("spans"))).collect()}
-    assert got == {1: "to [email] and [ip] end", 2: None, 3: "none"}
+    rnd = random.Random(4)
+    rows = [(1, "to a@b.c and 10.0.0.1 end", [("email", 3, 8), ("ip", 13, 21)]), (2, None, [("ip", 0, 1)]), (3, "none", []), (4, "none", None), (5, "", [])]
+    for i in range(6, 30):  # texts over many blocks, spans that touch, overlap and contain each other
+        text = "".join(rnd.choices("ab é😀\n", k=rnd.randint(1, 6000)))
+        spans = []
+        for _ in range(rnd.randint(1, 700)):
+            a = rnd.randrange(len(text))
+            spans.append((rnd.choice(("email", "ip", "phone")), a, min(len(text), a + rnd.randint(1, 3000 if rnd.random() < 0.01 else 12))))
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "doc_id int, text string, found array<struct<kind:string,s:bigint,e:bigint>>")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(df, "text", "found").collect()}
+    assert got == {i: redacted_brute(t, x) if t is not None and x else t for i, t, x in rows}
+
+
+def test_pii_additions_that_overlap_base_matches_go(spark):
+    rnd = random.Random(5)
+    added, rows, want = [], [], set()
+    for row in range(30):
+        base = {k: sorted((a, a + rnd.randint(1, 9)) for a in rnd.sample(range(300), rnd.randint(0, 9))) for k in pii.KINDS}
+        rows.append((row, *([{"s": s, "e": e} for s, e in base[k]] for k in pii.KINDS)))
+        for _ in range(12 if row % 3 else 0):
+            s = rnd.randrange(300)
+            x = (row, rnd.choice(pii.KINDS), s, s + rnd.randint(1, 9))
+            added.append(x)
+            if not any(b < x[3] and s < e for k in pii.KINDS for b, e in base[k]):
+                want.add(x)
+    spans = "array<struct<s:bigint,e:bigint>>"
+    got = pii._clear_of_base(spark.createDataFrame(added, "row bigint, kind string, s bigint, e bigint").distinct(), spark.createDataFrame(rows, "row bigint, " + ", ".join(f"{k} {spans}" for k in pii.KINDS)))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_pii_recall_and_precision_on_planted_contexts(spark):
+    """Handles after a telling word are found, numbers and codes after other words are not."""
+    rnd = random.Random(12)
+    filler = "river morning house window garden station winter letter number company history question".split()
+    word = lambda: rnd.choice(filler)
+    name = lambda i: "".join(rnd.choices("abcdefghijklm", k=5)) + str(i)
+    rows = [(i, f"{word()} {word()} mailto {name(i)}@mail.example.com thanks {word()}") for i in range(60)]
+    rows += [(1000 + i, f"{word()} {word()} mailto {name(i)} thanks {word()}") for i in range(200)]
+    rows += [(2000 + i, f"{word()} part {name(i)} costs {word()} and row {i} of {i + 7}") for i in range(200)]
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii.extract(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    found = [got[1000 + i] for i in range(200)]
+    assert np.mean([len(x) == 1 and x[0][0] == "email" for x in found]) > 0.95
+    assert np.mean([got[2000 + i] == [] for i in range(200)]) > 0.99
+
+
+def test_pii_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a@b.c", "own", "r", "n", "k")], "doc_id int, text string, email string, row string, near string, `base` string")
+    got = pii.extract(df, keep=("doc_id", "email", "row", "near", "base")).collect()
+    assert [(r["email"], r["row"], r["near"], [tuple(x) for x in r["base"]]) for r in got] == [("own", "r", "n", [("email", 0, 5)])]
 
 
 def test_pii_empty_table(spark, hard):
@@ -187,6 +242,49 @@ def test_secrets_cutoffs_follow_the_rule():
     assert secrets.cutoffs([(3, 0, 90)], 0.01) == {}
 
 
+def test_secrets_combined_p_values():
+    p = [np.array([0.01, 0.5, 1.0]), np.array([0.04, 0.5, 1.0]), np.array([0.9, 0.02, 1.0])]
+    assert np.allclose(secrets.simes(*p), [0.03, 0.06, 1.0])
+    for x in (0.5, 0.1, 1e-3, 1e-9):
+        assert abs(secrets._normal_tail(secrets._normal_upper(np.array([x]))) / x - 1) < 0.01
+    # a string that is even but ordered: chi-squared passes, runs and serial correlation don't
+    t = secrets.battery(["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/" * 2])
+    assert t["chi"][0] > 0.5 and t["random"][0] < secrets.BATTERY and t["random"][0] >= 3 * min(t["runs"][0], t["serial"][0]) - 1e-12
+
+
+def test_secrets_recall_precision_and_false_discoveries(spark):
+    """Random keys of every length among words of the same lengths: the rate of false discoveries holds."""
+    rnd = random.Random(21)
+    alpha = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "the of and people river morning house window garden station winter letter number company history question international understanding responsibility".split()
+    keys = [(i, "key " + "".join(rnd.choices(alpha, k=rnd.choice((32, 40, 48, 64)))) + " end") for i in range(100)]
+    texts = [(1000 + i, "see " + rnd.choice(("-", "_", "/", "")).join(w.title() if i % 2 else w for w in rnd.choices(words, k=rnd.randint(4, 9))) + " end") for i in range(900)]
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in secrets.find(spark.createDataFrame(keys + texts, "doc_id int, text string")).collect()}
+    hit, wrong = sum(bool(got[i]) for i, _ in keys), sum(bool(got[i]) for i, _ in texts)
+    assert hit >= 90 and wrong <= 0.02 * (hit + wrong)
+
+
+def test_secrets_strings_beside_base_matches_against_brute_force():
+    rnd = random.Random(3)
+    import pyarrow as pa
+
+    strings, base, want = [], [], []
+    for _ in range(40):
+        b = sorted((a, a + rnd.randint(1, 30)) for a in rnd.sample(range(400), rnd.randint(0, 12)))
+        x = sorted((a, a + rnd.randint(16, 40)) for a in rnd.sample(range(400), rnd.randint(0, 12)))
+        base.append([{"kind": "hex", "s": s, "e": e} for s, e in b])
+        strings.append([{"s": s, "e": e, "m": ""} for s, e in x])
+        want += [any(s < f and a < e for s, e in b) for a, f in x]
+    lists = pa.array(strings)
+    assert secrets._overlaps(lists.flatten(), secrets._rows_of(lists), pa.array(base)).tolist() == want
+
+
+def test_secrets_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "token = abcdefgh", "own", "t")], "doc_id int, text string, hex string, tested string")
+    got = secrets.find(df, keep=("doc_id", "hex", "tested")).collect()
+    assert [(r["hex"], r["tested"], [tuple(x) for x in r["base"]]) for r in got] == [("own", "t", [("assign", 0, 16)])]
+
+
 def test_secrets_empty_table(spark, hard):
     assert secrets.find(hard.where("false")).count() == 0
 
@@ -213,6 +311,10 @@ def test_media_query(spark, hard, tmp_path):
             stored = media.to_png(payload)
             assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
             assert r["caption"] == f"{len(raw)} bytes"
+            # the sequence: the lines of the text in order, the media after the first half of them
+            lines = [" ".join(x.split()) for x in (t or "").split("\n") if x.strip()]
+            assert (r["n_items"], r["position"]) == (len(lines) + 1, (len(lines) + 1) // 2)
+            assert r["texts_sha256"] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
 def test_media_sequences_keep_order_and_captions():
@@ -224,10 +326,45 @@ def test_media_sequences_keep_order_and_captions():
 
 
 def test_media_unresolved_references_stay(spark):
-    pages = spark.createDataFrame([(1, '<img src="digest:sha256/00">'), (2, "no media"), (3, None)], "page_id int, html string")
+    pages = spark.createDataFrame([(1, '<img src="digest:sha256/00">'), (2, "no media"), (3, None), (4, "<p>a<img src=x.png alt=A>")], "page_id int, html string")
     store = spark.createDataFrame([], "digest string, media binary")
-    got = media.resolve(media.sequences(pages), media.described(store), ("page_id",)).collect()
-    assert [(r["page_id"], r["payload_bytes"]) for r in got] == [(1, None)]
+    got = media.described(media.resolve(media.sequences(pages), store), ("page_id", "position", "ref", "caption")).collect()
+    assert sorted((r["page_id"], r["position"], r["ref"], r["caption"], r["payload_bytes"]) for r in got) == [(1, 0, "digest:sha256/00", None, None), (4, 1, "x.png", "A", None)]
+
+
+def test_media_hot_digests_and_clashing_names(spark, monkeypatch):
+    """Payloads come back at their positions whatever the kept columns are called, and however many share a digest."""
+    monkeypatch.setattr(media, "HOT_REFS", 7)
+    stored = [media.to_png(bytes([i]) * 64) for i in range(4)]
+    names = [hashlib.sha256(m).hexdigest() for m in stored]
+    rnd = random.Random(2)
+    rows, want = [], []
+    for i in range(200):
+        order = [0 if rnd.random() < 0.7 else rnd.randrange(4) for _ in range(3)]
+        rows.append((i % 150, "".join(f"<p>t{i}<img src='digest:sha256/{names[k]}' alt='c{j}'>" for j, k in enumerate(order)), "own", "m", "p"))
+        want += [(i % 150, 2 * j + 1, f"c{j}", bytes([k]) * 64) for j, k in enumerate(order)]
+    pages = spark.createDataFrame(rows, "page_id int, html string, digest string, parts string, part string")
+    store = spark.createDataFrame([(n, m) for n, m in zip(names, stored)] * 2, "digest string, media binary")
+    found = media.resolve(media.sequences(pages, keep=("page_id", "digest", "parts", "part")), store, keep=("page_id", "digest", "parts", "part"))
+    got = found.collect()
+    assert sorted((r["page_id"], r["position"], r["caption"], media.from_png(bytes(r["media"]))) for r in got) == sorted(want)
+    assert {(r["parts"], r["part"]) for r in got} == {("m", "p")} and {r["digest"] for r in got} <= set(names)
+    figures = media.described(found, ("page_id", "position")).collect()
+    assert sorted((r["page_id"], r["position"], r["payload_sha256"]) for r in figures) == sorted((i, at, hashlib.sha256(p).hexdigest()) for i, at, _, p in want)
+
+
+def test_media_sequences_of_the_pages(spark):
+    """Every page's text, in order: what is left of it when scripts, styles, comments and tags are taken out."""
+    import html
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r["page_id"]: r["items"] for r in media.sequences(pages).collect()}
+    for r in pages.collect():
+        bare = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>|<!DOCTYPE[^>]*>", "", r["html"] or "")
+        bare = html.unescape(re.sub(r"</?(?:b|a|i|em|strong|span|meta)\b[^>]*>", "", bare))
+        want = re.sub(r"<[^>]*>", " ", bare).split()
+        assert " ".join(x["text"] for x in got[r["page_id"]] if x["kind"] == "text").split() == want
+        assert [x["position"] for x in got[r["page_id"]]] == list(range(len(got[r["page_id"]])))
 
 
 def test_media_detects_damage():
@@ -369,6 +506,35 @@ def test_language_sample_takes_hot_and_null_keys_and_every_label(spark):
     assert len(langid.train(spark.createDataFrame(many + [(None, None, "no")], columns))["names"]) == 260
 
 
+def test_decoding_against_brute_force():
+    """Loss-weighted decoding, codeword by codeword and bit by bit."""
+    import math
+
+    rnd = np.random.default_rng(3)
+    x = rnd.random((40, 30)).astype(np.float32)
+    y = np.arange(40) % 5
+    model = langid.fit(x, y, 5, steps=20)
+    first, share, gap, loss = langid.decode(model, x)
+    for i in range(len(x)):
+        margin = [sum(float(a) * float(b) for a, b in zip(x[i], model["w"][:, j])) + float(model["b"][j]) for j in range(model["w"].shape[1])]
+        weight = model["bit"] / model["bit"].sum()
+        each = [sum(weight[j] * math.log1p(math.exp(-margin[j] * model["code"][c, j])) for j in range(len(margin))) for c in range(5)]
+        shares = [math.exp(-e * math.log2(6) * 2) for e in each]
+        shares = [s / sum(shares) for s in shares]
+        best = sorted(shares)
+        assert first[i] == max(range(5), key=lambda c: shares[c])
+        assert np.allclose((share[i], gap[i], loss[i]), (best[-1], best[-1] - best[-2], min(each)), atol=1e-4)
+
+
+def test_language_query_of_an_empty_table_and_clashing_names(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id bigint, text string, lang string")
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert langid.op7_langid(spark, str(tmp_path)).count() == 0
+    docs = spark.createDataFrame([(1, "a text", "own", "s")], "doc_id bigint, text string, lang_pred string, label string")
+    got = langid.identify(docs, {"names": []}, keep=("doc_id", "lang_pred", "label")).collect()
+    assert [(r["lang_pred"], r["label"]) for r in got] == [("und", "s")]
+
+
 def test_language_codes_are_apart():
     for k in (2, 4, 7, 12):
         code = langid.code_matrix(k)
@@ -408,6 +574,56 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
 
 
+def test_toxicity_labels_with_clashing_names_repeats_and_hot_keys(spark):
+    docs = [(i, f"text {i} {'bad' if i % 2 else 'good'}", 7, "k") for i in range(300)] + [(5, f"hot text {i}", 7, "k") for i in range(2000)] + [(None, "none", 7, "k")]
+    labels = [(i, i % 2) for i in range(300)] + [(4, 1), (4, 0), (None, 1), (6, None), (8, 5), (7, 1)]
+    found, totals = toxicity.chosen(spark.createDataFrame(docs, "doc_id bigint, text string, toxic int, key string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"), sample=120)
+    assert totals == {0: 149, 1: 151}
+    rows = [(r["text"], r["toxic"]) for r in found.collect()]
+    assert max(sum(t == x for _, t in rows) for x in (0, 1)) <= 120 and len(set(rows)) == len(rows)
+    assert all(t == 1 for x, t in rows if x.startswith("hot"))
+    scored = toxicity.score(spark.createDataFrame(docs, "doc_id bigint, text string, toxic int, key string"), {"entries": {"bad": 1.0}, "curve": [0.0, 1.0, 0.0, 0.0]}, keep=("doc_id", "toxic", "key"))
+    assert {r["toxic"] for r in scored.collect()} == {7}
+
+
+def test_toxicity_lexicon_has_no_cap(spark):
+    """3000 entries, each of which is telling by itself, are all learned."""
+    word = lambda i, first="q": first + "".join(chr(97 + (i // 26**k) % 26) for k in range(3))
+    rnd, rows = random.Random(1), []
+    for _ in range(16):
+        some = rnd.sample(range(3000), 3000)
+        rows += [(" ".join(word(i) for i in some[a : a + 10]), 1) for a in range(0, 3000, 10)]
+    rows += [(" ".join(word(rnd.randrange(17_000), "c") for _ in range(10)), 0) for _ in range(4800)]
+    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"), sample=4800)
+    assert sum(word(i) in model["entries"] for i in range(3000)) == 3000
+
+
+def test_matching_and_score_against_brute_force():
+    """Matches by trying every entry at every place; the score by its formula."""
+    rnd = random.Random(6)
+    entries = {"bad": 2.0, "badly": 1.0, "ugly*": 3.0, "bad dog": 0.0, "dog": 1.5, "a": 0.5}
+    automaton = toxicity.automaton_of(entries)
+    for _ in range(300):
+        text = "".join(rnd.choices(["bad", "ugly", "dog", "ly", " ", " ", ".", "a", "x"], k=rnd.randint(0, 12)))
+        found = []
+        for entry, weight in entries.items():
+            bare = entry.rstrip("*")
+            for at in range(len(text) - len(bare) + 1):
+                end = at + len(bare)
+                if text[at:end] == bare and (at == 0 or not text[at - 1].isalnum()) and (entry.endswith("*") or end == len(text) or not text[end].isalnum()):
+                    found.append((-len(bare), at, end, weight))
+        covered, total, n = set(), 0.0, 0
+        for _, at, end, weight in sorted(found):
+            if not covered & {at, end - 1}:
+                covered |= set(range(at, end))
+                total, n = total + weight, n + (weight > 0)
+        assert toxicity.matches(text, automaton) == (total, n, len(re.findall(r"[^\W\d_]+", text)))
+
+
+def test_toxicity_empty_documents(spark, hard):
+    assert toxicity.score(hard.where("false"), {"entries": {}, "curve": [0.0] * 4}).count() == 0
+
+
 def test_toxicity_hard_cases(spark, hard):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choices("abcdefghij", k=6))

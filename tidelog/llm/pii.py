@@ -9,7 +9,7 @@ identifiers that no base pattern knows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import durable, joined, table, with_spans
@@ -138,47 +138,92 @@ def extract(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     """Kept columns with ``base`` and ``spans``: arrays of (kind, s, e) in the order of kind, then start.
 
     ``spans`` has the base matches and, after them in the same order, what the method adds; additions that overlap a
-    base match go. Null and empty texts have none. Repeated rows have equal results, a row each; an empty table
-    gives an empty result. Texts are read once, whole; only strings and their contexts are shuffled.
+    base match go; those that overlap each other stay. Null and empty texts have none. Repeated rows have equal results, a
+    row each; an empty table gives an empty result; a kept column that is called like a result (base, spans) gives way to
+    it, others may have any name. Texts are read once, whole; only strings and their contexts are shuffled.
     """
-    keep = tuple(c for c in keep if c not in ("row", "near", "base", "spans", *KINDS))
-    scanned = docs.select(F.monotonically_increasing_id().alias("row"), *keep, F.col(text).alias("__text"))
-    scanned = durable(scan(scanned, "__text").select("row", *keep, *KINDS, "near"))
+    keep = tuple(c for c in keep if c not in ("base", "spans"))
+    own = [f"__keep{i}" for i in range(len(keep))]  # kept columns travel under names of their own
+    scanned = docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(o) for c, o in zip(keep, own)], F.col(f"`{text}`").cast("string").alias("__text"))
+    scanned = durable(scan(scanned, "__text").select("row", *own, *KINDS, "near"))
     occurrences = _occurrences(scanned)
     edges = durable(occurrences.select("pattern", "m").distinct().withColumn("seed", _seed(F.col("m"))))
     patterns, found = bootstrap(edges, rounds)
     added = occurrences.join(patterns, "pattern").join(found.drop("q"), ["m", "kind"]).select("row", "kind", "s", "e").distinct()
+    added = _clear_of_base(durable(added), scanned)
     added = added.groupBy("row").agg(F.collect_list(F.struct("kind", "s", "e")).alias("__added"))
 
     def of(kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
 
     def more(kind: str) -> Column:
-        own = F.filter(F.col("__added"), lambda x: x["kind"] == kind)
-        return F.filter(own, lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+        return F.filter(F.col("__added"), lambda x: x["kind"] == kind)
 
     out = scanned.drop("near").join(added, "row", "left").withColumn("base", F.concat(*[of(k) for k in KINDS]))
     none = F.array().cast("array<struct<kind:string,s:bigint,e:bigint>>")
-    own = [F.array_sort(F.concat(of(k), F.when(F.col("__added").isNotNull(), more(k)).otherwise(none)), _by_start) for k in KINDS]
-    return out.withColumn("spans", F.concat(*own)).select(*keep, "base", "spans")
+    every = [F.array_sort(F.concat(of(k), F.when(F.col("__added").isNotNull(), more(k)).otherwise(none)), _by_start) for k in KINDS]
+    return out.withColumn("spans", F.concat(*every)).select(*[F.col(o).alias(c) for c, o in zip(keep, own)], "base", "spans")
+
+
+def _clear_of_base(added: DataFrame, scanned: DataFrame) -> DataFrame:
+    """The additions (row, kind, s, e) that overlap no base match of their document.
+
+    A window over a document's base matches and additions in order of their start: the greatest end before, and the next
+    start after, tell. Only documents with additions take part.
+    """
+    spans = F.concat(*[F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS])
+    base = scanned.join(added.select("row").distinct(), "row", "left_semi").select("row", F.explode(spans).alias("x"))
+    both = added.withColumn("own", F.lit(1)).unionByName(base.select("row", F.lit(None).cast("string").alias("kind"), "x.s", "x.e", F.lit(0).alias("own")))
+    order = Window.partitionBy("row").orderBy("s", "own")
+    reach = F.max(F.when(F.col("own") == 0, F.col("e"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(F.col("own") == 0, F.col("s"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    seen = both.withColumns({"reach": F.coalesce(reach, F.lit(0)), "after": F.coalesce(after, F.lit(1 << 60))})
+    return seen.where("own = 1 AND reach <= s AND after >= e").select("row", "kind", "s", "e")
 
 
 def _by_start(a: Column, b: Column) -> Column:
     return F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).when(a["e"] < b["e"], -1).when(a["e"] > b["e"], 1).otherwise(0)
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in square brackets; overlapping spans become one."""
-    ordered = F.array_sort(spans, _by_start)
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+#: Code points of a block of text, and spans of a block of spans, when texts are rebuilt.
+TEXT_BLOCK, SPAN_BLOCK = 1024, 256
+
 
-    def step(a: Column, x: Column) -> Column:
-        inside = x["s"] < a["at"]
-        piece = F.concat(text.substr((a["at"] + 1).cast("int"), (x["s"] - a["at"]).cast("int")), F.lit("["), x["kind"], F.lit("]"))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.array(piece))).alias("out"))
+def redact(docs: DataFrame, text: str, spans: str) -> DataFrame:
+    """``docs`` with each span of the text (kind, s, e) replaced by its kind in square brackets; overlapping spans become
+    one, of the kind that begins first (then: ends first). Null spans and null texts change nothing.
 
-    end = lambda a: F.concat(F.array_join(a["out"], ""), text.substr((a["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, state, step, end)).otherwise(text)
+    In time proportional to the text and the spans: ends are carried over blocks of spans, and what lies between two spans is
+    cut from blocks of text.
+    """
+    blocks, ordered, ends, reach = (F.col(f"__redact_{x}") for x in ("blocks", "spans", "ends", "reach"))
+    n = F.size(ordered)
+
+    def running(x: Column, start: Column) -> Column:
+        """The greatest value before each."""
+        state = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(x, state, lambda a, v: F.struct(F.greatest(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def piece(a: Column, b: Column) -> Column:
+        """The text from one code point up to another."""
+        i, j = F.floor(a / TEXT_BLOCK).cast("int"), F.floor((b - 1) / TEXT_BLOCK).cast("int")
+        from_a = (a - i * TEXT_BLOCK + 1).cast("int")
+        many = F.concat(F.get(blocks, i).substr(from_a, F.lit(TEXT_BLOCK)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.get(blocks, j).substr(F.lit(1), (b - j * TEXT_BLOCK).cast("int")))
+        return F.when(b <= a, "").when(i == j, F.get(blocks, i).substr(from_a, (b - a).cast("int"))).otherwise(many)
+
+    some = F.size(F.col(spans)) > 0
+    docs = docs.withColumn("__redact_spans", F.when(some, F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))))
+    docs = docs.withColumn("__redact_blocks", F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))))
+    docs = docs.withColumn("__redact_ends", F.transform(F.sequence(F.lit(0), F.floor((n - 1) / SPAN_BLOCK).cast("int")), lambda b: F.transform(F.slice(ordered, b * SPAN_BLOCK + 1, SPAN_BLOCK), lambda x: x["e"])))
+    docs = docs.withColumn("__redact_reach", running(F.transform(ends, F.array_max), F.lit(0).cast("bigint")))
+    docs = docs.withColumn("__redact_reach", F.flatten(F.zip_with(ends, reach, running)))
+    # spans that begin where another hasn't ended go; the rest follow the reach of all before them
+    pairs = F.zip_with(ordered, reach, lambda x, r: F.struct(r.alias("r"), x["s"].alias("s"), x["kind"].alias("kind")))
+    parts = F.transform(F.filter(pairs, lambda x: x["s"] >= x["r"]), lambda x: F.concat(piece(x["r"], x["s"]), F.lit("["), x["kind"], F.lit("]")))
+    last = F.array_max(F.transform(ordered, lambda x: x["e"]))
+    whole = F.concat(F.array_join(parts, ""), piece(last, F.length(text).cast("bigint")))
+    docs = docs.withColumn(text, F.when(F.col("__redact_spans").isNotNull() & F.col(text).isNotNull(), whole).otherwise(F.col(text)))
+    return docs.drop(*[f"__redact_{x}" for x in ("spans", "blocks", "ends", "reach")])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,4 +235,5 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("bigint").alias("n_spans"),
     )
