@@ -5,7 +5,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, decontam, jaccard, langid, pii
@@ -31,7 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each component of similar documents, the row least by doc_id (null last) and hash of the text stays.
 
     Documents without words stay. Rows are told apart by doc_id and a hash of the text, so one row of a component stays
-    whatever ids its rows share or lack; of repeated rows one stays. Texts are moved only where rows repeat.
+    whatever ids its rows share or lack; of repeated rows that one stays whose columns come first (any of them, where the
+    columns have no order). Texts are moved only where rows repeat, and then a row of each task at most.
     """
     names = ["__id", "__hash"]
     named = _named(docs)
@@ -42,8 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = sized(durable(linked.select(*names).distinct().join(stay, names, "left_anti")))
     again = sized(durable(found.groupBy(*names).count().where("count > 1").select(*names)))
     kept = named.join(gone, names, "left_anti")
-    first = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))
-    single = kept.join(again, names, "left_semi").withColumn("__first", first).where("__first = 1")
+    pick = F.first if "map<" in docs.schema.simpleString() or "variant" in docs.schema.simpleString() else F.min
+    single = kept.join(again, names, "left_semi").groupBy(*names).agg(pick(F.struct(*docs.columns)).alias("__row")).select("__row.*")
     return kept.join(again, names, "left_anti").select(docs.columns).unionByName(single.select(docs.columns))
 
 
@@ -59,7 +60,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     named = _named(docs)
     found = pii.extract(named.select("text", *names), keep=tuple(names)).where(F.size("spans") > 0)
     found = sized(durable(found.select(*names, F.col("spans").alias("__spans")).dropDuplicates(names)), weight=F.size("__spans"))
-    out = named.join(found, names, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(pii.redacted(F.col("text"), F.col("__spans"))))
+    out = pii.redact(named.join(found, names, "left"), "text", "__spans")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
