@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tidelog.functions import hashing
 from tidelog.model import OPLOG, STATUS, KVOptions
 from tidelog.operators import analytics, consistency, folds, state, storage, workload
-from tidelog.operators.tables import fresh_folder
+from tidelog.operators.tables import fresh_folder, running_total
 from tidelog.sources import measurements
+from tidelog.store import Store
 from tidelog.streaming import streams
 
 
@@ -304,3 +305,156 @@ def test_codec_roundtrip_over_the_whole_range(spark):
     x = spark.range(500000).withColumn("code", hashing.encode_int(F.col("id")))
     bad = x.where(~hashing.decode_int(F.col("code")).eqNullSafe(F.col("id")) | (F.length("code") != 8) | F.col("code").isNull())
     assert x.count() == 500000 and bad.count() == 0
+
+
+def test_buffered_reads_on_every_path(spark):
+    some = log(spark, [(0, 0, 0, 0, "PUT", "key", "value"), (1, 1, 0, 0, "GET", "key", None), (2, 1, 0, 0, "DEL", "key", None), (3, 1, 0, 0, "GET", "key", None), (4, 1, 0, 0, "GET", "none", None)])
+    for size, first in ((5, ("FOUND", 5, "value")), (3, ("BUFFER_TOO_SMALL", 5, None)), (0, ("BUFFER_TOO_SMALL", 5, None))):
+        for replay in (consistency.replay_sequential, consistency.replay_relaxed):
+            got = {r["seq"]: (r["status"], r["value_len"], r["value"]) for r in replay(some, size).collect()}
+            assert got == {1: first, 3: ("DELETED", 0, None), 4: ("NOT_FOUND", 0, None)}
+        probes = spark.createDataFrame([("key",), ("none",)], "key string")
+        tier = state.latest(some.where("epoch = 0"))
+        assert {r["key"]: (r["status"], r["value_len"], r["value"]) for r in state.tier_lookup(probes, [tier], size).collect()} == {"key": first, "none": ("NOT_FOUND", 0, None)}
+        store = storage.run_of(some.where("epoch = 0"))
+        assert {r["key"]: (r["status"], r["value_len"], r["value"]) for r in storage.read(store, probes, size).collect()} == {"key": first, "none": ("NOT_FOUND", 0, None)}
+        assert tuple(one(storage.get_key(store, "key", 0, size)))[1:] == first
+    assert tuple(one(storage.get_key(storage.run_of(some), "key", 0))) == ("key", "DELETED", None)
+    assert tuple(one(storage.get_key(storage.run_of(some), "none", 0))) == ("none", "NOT_FOUND", None)
+
+
+def test_cache_size_and_clear():
+    cache = folds.LRUCache(100)
+    assert len(cache) == 0
+    cache.put(b"key", "FOUND", 5)
+    cache.put(b"another_key", "FOUND", 13)
+    assert len(cache) == 32
+    cache.put(b"key", "FOUND", 9)
+    assert len(cache) == 36
+    cache.clear()
+    assert len(cache) == 0 and cache.get(b"key") is None
+    cache.put(b"key", "FOUND", 5)
+    assert len(cache) == 8
+
+
+def read_rows(df):
+    """Rows that the scans of a plan gave to it."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def visit(node):
+        if "Scan" in node.nodeName():
+            found.append(node.metrics().get("numOutputRows").get().value())
+        children = node.children()
+        for i in range(children.size()):
+            visit(children.apply(i))
+
+    visit(plan)
+    return sum(found)
+
+
+def test_bloom_filters_are_sized_by_rows_and_prune(spark, tmp_path):
+    import glob
+    import os
+
+    def rows(gen, n):
+        return [(i, gen, 0, 0, "PUT", f"key{2 * i:06}", "v") for i in range(n)]
+
+    root = str(tmp_path / "store")
+    storage.checkpoint(storage.run_of(log(spark, rows(1, 10) + rows(2, 3000))), root)
+    size = {g: sum(os.path.getsize(f) for f in glob.glob(f"{root}/gen={g}/*/*.parquet")) for g in (1, 2)}
+    assert size[1] < 3000 and size[2] < 60_000  # an unsized filter takes a megabyte
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        store = storage.open_store(spark, root).where("gen = 2")
+        assert read_rows(storage.of_key(store, "key000200", 0)) > 0
+        absent = [read_rows(storage.of_key(store, f"key{i:06}", 0)) for i in range(201, 241, 2)]  # inside the bounds, not in the run
+        assert sum(n == 0 for n in absent) >= 18
+        plain = str(tmp_path / "plain")
+        store.drop("gen", "owner").coalesce(1).sortWithinPartitions("key").write.option("parquet.enable.dictionary", "false").parquet(plain)
+        assert read_rows(spark.read.parquet(plain).where("key = 'key000201'")) > 0  # no filter, nothing pruned
+        assert read_rows(storage.of_key(storage.open_store(spark, root), "key000200", 7)) == 0  # no such owner: no folder is read
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_flush_close_and_reopen(spark, tmp_path):
+    root = str(tmp_path / "store")
+    some = log(spark, [(i, i // 4, 0, 0, "DEL" if i % 5 == 4 else "PUT", f"k{i % 3}", None if i % 5 == 4 else f"v{i}") for i in range(12)])
+    assert storage.flush(some.where("epoch = 0"), root) == 0
+    assert storage.flush(some.where("epoch = 0"), root) == 0  # nothing is written twice
+    store = storage.close(some, root)
+    assert sorted((r["key"], r["value"]) for r in storage.newest(store).collect()) == sorted((r["key"], r["value"]) for r in state.latest(some).collect())
+    assert store.groupBy("gen", "key").count().where("count > 1").count() == 0
+    assert storage.flush(log(spark, []), str(tmp_path / "none")) == -1
+
+
+def test_facade(spark, tmp_path):
+    root = str(tmp_path / "facade")
+    db = Store(spark, root, ranks=4)
+    assert (db.options.consistency, db.options.mode) == ("SEQUENTIAL", "READANDWRITE")
+    db.put("1key", "1value")
+    db.put("2key", "2value")
+    db.put("1key", "new")
+    assert tuple(db.get("1key")) == ("1key", "FOUND", "new") and db.get("3key")["status"] == "NOT_FOUND"
+    assert tuple(db.get("1key", 2)) == ("1key", "BUFFER_TOO_SMALL", 3, None)
+    db.checkpoint()
+    db.delete("2key")
+    assert db.get("2key")["status"] == "DELETED" and db.get("1key")["value"] == "new"
+    db.put_all(spark.createDataFrame([("4key", "a"), ("4key", "b")], "key string, value string"))
+    assert db.get("4key")["value"] == "b"
+    db.finalize()
+    again = Store(spark, root, ranks=4)
+    assert [again.get(k)["status"] for k in ("1key", "2key", "3key", "4key")] == ["FOUND", "DELETED", "NOT_FOUND", "FOUND"]
+    again.put("2key", "back")
+    again.checkpoint()
+    assert Store(spark, root, ranks=4).get("2key")["value"] == "back"
+
+
+def test_remote_answers_are_cached_while_nothing_may_change(spark):
+    some = log(spark, [(0, 0, 1, 1, "PUT", "1key", "v"), (1, 0, 0, 1, "GET", "1key", None), (2, 0, 0, 1, "GET", "1key", None), (3, 1, 0, 1, "GET", "1key", None), (4, 1, 0, 1, "GET", "1key", None), (5, 2, 0, 1, "GET", "1key", None), (6, 3, 0, 1, "GET", "1key", None), (7, 1, 1, 1, "GET", "1key", None)])
+    options = spark.createDataFrame([(0, "SEQUENTIAL", "READANDWRITE"), (1, "SEQUENTIAL", "READONLY"), (3, "RELAXED", "READONLY")], "epoch bigint, consistency string, mode string")
+    got = {r["seq"]: r["hit"] for r in consistency.remote_cache_hits(some, options).collect()}
+    assert got == {1: False, 2: False, 3: False, 4: True, 5: True, 6: False}
+
+
+def test_quantiles_and_totals_against_numpy(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(("a", "b", None)), rnd.choice((rnd.random(), 1.0, 2.0, None))) for _ in range(900)] + [("single", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r for r in analytics.quantiles(df, ["g"], "x", {"q1": 0.25, "median": 0.5, "p99": 0.99}).collect()}
+    for g in ("a", "b", None, "single"):
+        own = [x for h, x in rows if h == g and x is not None]
+        assert np.allclose((got[g]["q1"], got[g]["median"], got[g]["p99"]), np.quantile(own, (0.25, 0.5, 0.99)))
+    assert "none" not in got
+    hot = spark.range(1000).select((F.col("id") % 10 == 0).cast("int").alias("g"), F.col("id").alias("at"), F.lit(1).alias("one"))
+    total = running_total(hot, ["g"], ["at"], "one", "before").collect()
+    for g in (0, 1):
+        some = sorted((r["at"], r["before"], r["before_all"]) for r in total if r["g"] == g)
+        assert [b for _, b, _ in some] == list(range(len(some))) and {n for *_, n in some} == {len(some)}
+
+
+def test_hash_of_any_length_against_the_plain_form(spark):
+    rnd = random.Random(5)
+    keys = [bytes(rnd.randrange(256) for _ in range(n)) for n in range(40)] + [b"\xff" * 7, b"", None]
+    df = spark.createDataFrame([(k,) for k in keys], "k binary")
+    for seed in (0, 1, 7, 0xFFFFFFFF):
+        got = [r[0] for r in df.select(hashing.hash_exact(F.col("k"), seed)).collect()]
+        assert got == [None if k is None else hashing.murmur3_x86_32(k, seed) for k in keys]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from tidelog.operators import tables
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_folder(Session())

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,14 +60,47 @@ def hash_native(key: Column, seed: int = 1) -> Column:
     return F.hash(F.lit(int_with_hash(seed)), key).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def hash_exact(key: Column, seed: int = 1) -> Column:
-    """The public hash for keys of any length, by Arrow batches; null stays null."""
+def _let(x: Column, f) -> Column:
+    """f(x), with x computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _times(x: Column, factor: int) -> Column:
+    """Product of 32-bit numbers, modulo 2^32; no step leaves 63 bits."""
+    high = F.shiftright(x, 16) * F.lit(factor)
+    return (x.bitwiseAND(F.lit(0xFFFF)) * F.lit(factor) + F.shiftleft(high.bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _mixed(x: Column, shifts: tuple[int, ...], factor: int | None = None) -> Column:
+    """x with its shifts to the right by exclusive or, times the factor."""
 
-    @F.pandas_udf("bigint")
-    def run(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: None if k is None else murmur3_x86_32(bytes(k), seed)).astype("Int64")
+    def step(v: Column) -> Column:
+        out = v
+        for n in shifts:
+            out = out.bitwiseXOR(F.shiftright(v, n))
+        return out
 
-    return run(key.cast("binary"))
+    mixed = _let(x, step)
+    return mixed if factor is None else _let(mixed, lambda v: _times(v, factor))
+
+
+def hash_exact(key: Column, seed: int = 1) -> Column:
+    """The public hash for keys of any length, in the JVM; null stays null.
+
+    The built-in hash takes the key's whole words; its finish is undone, the bytes that are left go in, and the finish is
+    done again with the full length.
+    """
+    raw = key.cast("binary")
+    n = F.octet_length(raw)
+    whole = n - n % 4
+    inverse = lambda c: pow(c, -1, 1 << 32)
+    done = hash_native(raw.substr(F.lit(1), whole), seed)
+    body = _mixed(_mixed(_mixed(done, (16,), inverse(0xC2B2AE35)), (13, 26), inverse(0x85EBCA6B)), (16,)).bitwiseXOR(whole.cast("bigint"))
+    rest = F.hex(raw.substr(whole + 1, F.lit(3)))
+    tail = F.coalesce(F.conv(F.nullif(F.concat(*[F.substring(rest, i, 2) for i in (5, 3, 1)]), F.lit("")), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
+    turned = _let(_times(tail, 0xCC9E2D51), lambda k: F.shiftleft(k, 15).bitwiseOR(F.shiftright(k, 17)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    with_tail = body.bitwiseXOR(_let(turned, lambda k: _times(k, 0x1B873593))).bitwiseXOR(n.cast("bigint"))
+    return F.when(raw.isNotNull(), _mixed(_mixed(_mixed(with_tail, (16,), 0x85EBCA6B), (13,), 0xC2B2AE35), (16,)))
 
 
 def owner_of(hash_value: Column, ranks: int) -> Column:

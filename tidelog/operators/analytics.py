@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.tables import durable
+from tidelog.operators.tables import durable, running_total
 
 
 def label(df: DataFrame, **labels) -> DataFrame:
@@ -48,14 +48,20 @@ def scalar_throughput(df: DataFrame, group: list[str], count: str = "count", tot
     return df.groupBy(*group).agg(F.sum(F.try_divide(F.col(count), F.col(total_ns)) * 1e9).alias("throughput"))
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Number of each row within its group, from 0; a large group is dealt out by ranges of its order."""
+    found = running_total(df.withColumn("__one", F.lit(1).cast("bigint")), group, order, "__one", out)
+    return found.select(*df.columns, F.col(out).cast("bigint").alias(out))
+
+
 def op_sequence(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Number of each operation within its file, from 0."""
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+    return numbered(df, group, order, "nth")
 
 
 def run_number(df: DataFrame, file: str, config: list[str], order: list[str]) -> DataFrame:
     """How many lines of the same configuration came before in the file."""
-    return df.withColumn("run", F.row_number().over(Window.partitionBy(file, *config).orderBy(*order)) - 1)
+    return numbered(df, [file, *config], order, "run")
 
 
 def unpivot_ops(df: DataFrame, ids: list[str], times: dict[str, str], value: str = "time") -> DataFrame:
@@ -69,10 +75,32 @@ def group_sum(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.dropna(subset=keys).groupBy(*keys).agg(F.sum(value).alias(value))
 
 
+def quantiles(df: DataFrame, group: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each group, linear between ranks: a column for each name of ``at``. Nulls don't count.
+
+    Values are counted first, and counts are added up over ranges of (group, value), so no task holds a large group. Of
+    the distinct values only those that hold a rank that is asked for go on.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    placed = running_total(counts, group, ["__v"], "__n", "__first")
+    first, last, n = F.col("__first"), F.col("__first") + F.col("__n") - 1, F.col("__first_all")
+    ranks = {f"{name}_{side}": f((n - 1) * F.lit(float(q))) for name, q in at.items() for side, f in (("low", F.floor), ("high", F.ceil))}
+    has = {name: (first <= rank) & (rank <= last) for name, rank in ranks.items()}
+    some = None
+    for condition in has.values():
+        some = condition if some is None else some | condition
+    found = placed.where(some).groupBy(*group).agg(F.first("__first_all").alias("__all"), *[F.max(F.when(c, F.col("__v"))).alias(f"__{name}") for name, c in has.items()])
+    out = []
+    for name, q in at.items():
+        spot = (F.col("__all") - 1) * F.lit(float(q))
+        low, high = F.col(f"__{name}_low"), F.col(f"__{name}_high")
+        out.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
+    return found.select(*group, *out)
+
+
 def box_stats(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Quartiles (linear between ranks) and the fences at 1.5 interquartile ranges."""
-    q = df.groupBy(*group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*group, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    q = quantiles(df, group, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     return q.withColumns({"low": F.col("q1") - 1.5 * iqr, "high": F.col("q3") + 1.5 * iqr})
 
@@ -86,14 +114,14 @@ def approximate_box_stats(df: DataFrame, group: list[str], value: str, accuracy:
 def whiskers(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Quartiles, the extreme values within the fences, and the number of values beyond."""
     inside = F.when(F.col(value).between(F.col("low"), F.col("high")), F.col(value))
-    both = df.join(box_stats(df, group, value), group)
+    both = df.join(durable(box_stats(df, group, value)), group)
     beyond = F.when(~F.col(value).between(F.col("low"), F.col("high")), 1).otherwise(0)
     return both.groupBy(*group, "q1", "median", "q3").agg(F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"), F.sum(beyond).cast("bigint").alias("outliers"))
 
 
 def outliers(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Rows beyond the fences of their group."""
-    both = df.join(box_stats(df, group, value).select(*group, "low", "high"), group)
+    both = df.join(durable(box_stats(df, group, value).select(*group, "low", "high")), group)
     return both.where(~F.col(value).between(F.col("low"), F.col("high"))).drop("low", "high")
 
 
@@ -104,13 +132,8 @@ def ecdf(df: DataFrame, hue: list[str], value: str) -> DataFrame:
     hue lies in many parts, whose totals are carried over.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*hue, value).agg(F.count("*").alias("n"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = durable(counts.repartitionByRange(parts, *hue, value).withColumn("run", F.spark_partition_id()))
-    inside = Window.partitionBy(*hue, "run").orderBy(value)
-    totals = placed.groupBy(*hue, "run").agg(F.sum("n").alias("total"))
-    over = Window.partitionBy(*hue).orderBy("run")
-    totals = totals.select(*hue, "run", (F.sum("total").over(over) - F.col("total")).alias("before"), F.sum("total").over(Window.partitionBy(*hue)).alias("all"))
-    return placed.withColumn("upto", F.sum("n").over(inside)).join(totals, [*hue, "run"]).select(*hue, value, "n", ((F.col("upto") + F.col("before")) / F.col("all")).alias("share"))
+    found = running_total(counts, hue, [value], "n", "before")
+    return found.select(*hue, value, "n", ((F.col("before") + F.col("n")) / F.col("before_all")).alias("share"))
 
 
 def log_histogram(df: DataFrame, group: list[str], value: str, width: float = 0.05) -> DataFrame:

@@ -1,7 +1,7 @@
 """Inherently sequential operators: memtable rollover and byte-bounded LRU caches, as streaming folds per owner.
 
 Rows of an owner are sorted and pass through one task; what is kept is the table or the cache, which its option
-bounds, never the log.
+bounds, never the log and never the store: what a read finds below the cache is resolved before, by an as-of lookup.
 """
 
 from __future__ import annotations
@@ -11,8 +11,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.operators.tables import latest_before
+
 
 class Memtable:
     """Bytes of a table: key and value and one flag byte for an entry, the value's difference for an overwrite."""
@@ -52,6 +55,15 @@ class LRUCache:
             old, (_, n) = self.entries.popitem(last=False)
             self.bytes -= len(old) + n
 
+    def __len__(self) -> int:
+        """Bytes of all entries, as the limit counts them."""
+        return self.bytes
+
+    def clear(self) -> None:
+        """Forget all entries."""
+        self.entries.clear()
+        self.bytes = 0
+
     def invalidate(self, keys) -> None:
         for key in keys:
             if key in self.entries:
@@ -113,6 +125,33 @@ def memtable_rollover(log: DataFrame, limit: int = 100) -> DataFrame:
     return fold(log, ["op", "key", "value"], schema, start)
 
 
+def resolved(log: DataFrame) -> DataFrame:
+    """The log with what the store below the cache holds when each operation comes: columns below (op) and below_len.
+
+    A window within each epoch of a key, and the key's state carried over its epochs; no owner's store is held anywhere.
+    """
+    length = F.when((F.col("op") == "PUT") & F.col("value").isNotNull(), F.octet_length("value")).otherwise(0)
+    marked = log.withColumn("w", F.when(F.col("op") != "GET", F.struct("op", length.alias("n"))))
+    seen = latest_before(marked, ["key"], "epoch", ["epoch", "seq"], "w", "r")
+    return seen.select("owner", "seq", "op", "key", F.col("r.op").alias("below"), F.coalesce("r.n", F.lit(0)).cast("bigint").alias("below_len"))
+
+
+def through_cache(cache: LRUCache, op: str, key: bytes, below: str | None, below_len: int) -> tuple[str, bool] | None:
+    """One operation on a cache: None for a write, which drops its key's entry; (status, hit) for a read.
+
+    A read that falls through is cached with what the store holds, whatever its status.
+    """
+    if op != "GET":
+        cache.invalidate([key])
+        return None
+    found = cache.get(key)
+    if found is not None:
+        return found[0], True
+    status = "FOUND" if below == "PUT" else "DELETED" if below == "DEL" else "NOT_FOUND"
+    cache.put(key, status, below_len)
+    return status, False
+
+
 def lru_reads(log: DataFrame, limit: int = 1000) -> DataFrame:
     """Each GET with its status and whether the owner's cache had the answer.
 
@@ -121,30 +160,18 @@ def lru_reads(log: DataFrame, limit: int = 1000) -> DataFrame:
     schema = T.StructType([T.StructField("owner", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("status", T.StringType()), T.StructField("hit", T.BooleanType())])
 
     def start(owner):
-        cache, store = LRUCache(limit), {}
+        cache = LRUCache(limit)
 
         def step(row):
-            _, seq, op, key, value = row
-            k = key.encode()
-            if op != "GET":
-                store[k] = len(value.encode()) if op == "PUT" and value is not None else None
-                cache.invalidate([k])
-                return []
-            found = cache.get(k)
-            if found is None:
-                n = store.get(k)
-                state = "NOT_FOUND" if k not in store else "DELETED" if n is None else "FOUND"
-                cache.put(k, state, n or 0)
-                return [(owner, seq, state, False)]
-            return [(owner, seq, found[0], True)]
+            _, seq, op, key, below, n = row
+            found = through_cache(cache, op, key.encode(), below, n)
+            return [] if found is None else [(owner, seq, *found)]
 
         return step, None
 
-    return fold(log, ["op", "key", "value"], schema, start)
+    return fold(resolved(log), ["op", "key", "below", "below_len"], schema, start)
 
 
 def lru_hit_ratio(log: DataFrame, limit: int = 1000) -> DataFrame:
     """Per owner: reads, hits and their share."""
-    from pyspark.sql import functions as F
-
     return lru_reads(log, limit).groupBy("owner").agg(F.count("*").alias("reads"), F.sum(F.col("hit").cast("bigint")).alias("hits"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("ratio"))

@@ -52,6 +52,14 @@ def buffered(op: Column, value: Column, size: int) -> tuple[Column, Column, Colu
     )
 
 
+def answer(op: Column, value: Column, size: int | None) -> list[Column]:
+    """Columns status and value, and with a buffer's ``size`` value_len between them."""
+    if size is None:
+        return [status(op).alias("status"), F.when(op == "PUT", value).alias("value")]
+    s, n, v = buffered(op, value, size)
+    return [s.alias("status"), n.alias("value_len"), v.alias("value")]
+
+
 def get(log: DataFrame, key: str) -> DataFrame:
     """One row: status and value of a key. The key's predicate reaches the scan."""
     one = writes(log).where(F.col("key") == key).agg(F.max_by(F.struct("op", "value"), "seq").alias("w"))
@@ -89,11 +97,15 @@ def cache_invalidate(cache: DataFrame, flushed: DataFrame) -> DataFrame:
     return cache.join(flushed.select("key").distinct(), "key", "left_anti")
 
 
-def tier_lookup(probes: DataFrame, tiers: list[DataFrame]) -> DataFrame:
-    """Status of each probe in the first tier (key, op, value) that has the key; newer tiers come first."""
+def tier_lookup(probes: DataFrame, tiers: list[DataFrame], size: int | None = None) -> DataFrame:
+    """Status of each probe in the first tier (key, op, value) that has the key; newer tiers come first.
+
+    With a buffer's ``size``, also the true length; a longer value isn't copied.
+    """
     every = None
     for rank, tier in enumerate(tiers):
         own = tier.select("key", F.lit(rank).alias("tier"), "op", "value")
         every = own if every is None else every.unionByName(own)
     first = every.groupBy("key").agg(F.min_by(F.struct("tier", "op", "value"), "tier").alias("w"))
-    return probes.join(first, "key", "left").select("key", F.col("w.tier").alias("tier"), status(F.col("w.op")).alias("status"), F.when(F.col("w.op") == "PUT", F.col("w.value")).alias("value"))
+    found = probes.join(first, "key", "left").select("key", F.col("w.tier").alias("tier"), F.col("w.op").alias("op"), F.col("w.value").alias("value"))
+    return found.select("key", "tier", *answer(F.col("op"), F.col("value"), size))

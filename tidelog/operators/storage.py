@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.operators.state import status, writes
+from tidelog.operators.state import answer, writes
+from tidelog.operators.tables import durable
 
 
 def run_of(log: DataFrame, gen: str = "epoch") -> DataFrame:
@@ -17,10 +18,17 @@ def run_of(log: DataFrame, gen: str = "epoch") -> DataFrame:
 def checkpoint(runs: DataFrame, root: str, mode: str = "append") -> None:
     """Write generations: a folder for each gen and owner, sorted by key, with a Bloom filter on the key.
 
-    Empty generations write nothing. The filter is sized by Parquet from the rows it sees.
+    Empty generations write nothing. A filter is sized for the rows of its file, up to the next power of two: files are
+    counted, and those of one size class are written together.
     """
-    dealt = runs.repartition("gen", "owner").sortWithinPartitions("gen", "owner", "key")
-    dealt.write.mode(mode).option("parquet.bloom.filter.enabled#key", "true").option("parquet.enable.dictionary", "false").partitionBy("gen", "owner").parquet(root)
+    runs = durable(runs)
+    files = runs.groupBy("gen", "owner").agg(F.count("*").alias("n"))
+    files = durable(files.withColumn("size_class", F.ceil(F.log2(F.greatest("n", F.lit(2)))).cast("int")).drop("n"))
+    for i, r in enumerate(files.select("size_class").distinct().orderBy("size_class").collect()):
+        some = runs.join(files.where(F.col("size_class") == r["size_class"]).drop("size_class"), ["gen", "owner"], "left_semi")
+        dealt = some.repartition("gen", "owner").sortWithinPartitions("gen", "owner", "key")
+        out = dealt.write.mode(mode if i == 0 else "append").option("parquet.enable.dictionary", "false").partitionBy("gen", "owner")
+        out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(1 << r["size_class"])).parquet(root)
 
 
 def open_store(spark: SparkSession, root: str) -> DataFrame:
@@ -38,16 +46,56 @@ def newest(store: DataFrame) -> DataFrame:
     return store.groupBy("key").agg(F.max_by(F.struct("gen", "tombstone", "value"), "gen").alias("w")).select("key", "w.gen", "w.tombstone", "w.value")
 
 
-def read(store: DataFrame, probes: DataFrame) -> DataFrame:
-    """Status and value of each probe's key over all generations; the newest record wins."""
+def read(store: DataFrame, probes: DataFrame, size: int | None = None) -> DataFrame:
+    """Status and value of each probe's key over all generations; the newest record wins.
+
+    With a buffer's ``size``, also the true length; a longer value isn't copied.
+    """
     found = probes.join(newest(store), "key", "left")
     op = F.when(F.col("tombstone"), "DEL").when(F.col("gen").isNotNull(), "PUT")
-    return found.select("key", status(op).alias("status"), "value")
+    return found.select("key", *answer(op, F.col("value"), size))
+
+
+def of_key(store: DataFrame, key: str, owner: int) -> DataFrame:
+    """A key's records in all generations. The literal owner prunes folders; the literal key prunes row groups, by their
+    bounds and their Bloom filters."""
+    return store.where((F.col("owner") == owner) & (F.col("key") == key))
 
 
 def read_key(store: DataFrame, key: str, owner: int) -> DataFrame:
-    """One key's newest record; the literal owner prunes folders, the literal key row groups."""
-    return newest(store.where((F.col("owner") == owner) & (F.col("key") == key)))
+    """One key's newest record; see ``of_key`` for what is read."""
+    return newest(of_key(store, key, owner))
+
+
+def get_key(store: DataFrame, key: str, owner: int, size: int | None = None) -> DataFrame:
+    """One row: status and value of a key, and with a buffer's ``size`` the true length."""
+    w = of_key(store, key, owner).agg(F.max_by(F.struct("tombstone", "value"), "gen").alias("w"))
+    op = F.when(F.col("w.tombstone"), "DEL").when(F.col("w").isNotNull(), "PUT")
+    return w.select(F.lit(key).alias("key"), *answer(op, F.col("w.value"), size))
+
+
+def flush(log: DataFrame, root: str, after: int | None = None) -> int:
+    """Write the generations of the log that come after ``after`` (default: the newest one stored); the newest stored now.
+
+    What is written is on disk when this returns; generations that are stored already aren't written again.
+    """
+    spark = log.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if after is None:
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        after = highest_generation(open_store(spark, root)) if there else -1
+    checkpoint(run_of(log.where(F.col("epoch") > after)), root)
+    last = writes(log).agg(F.max("epoch")).first()[0]
+    return after if last is None else max(after, last)
+
+
+def close(log: DataFrame, root: str) -> DataFrame:
+    """Shut a store down: a last fence makes all writes visible, what isn't stored is flushed, and the data persists.
+
+    The store, opened again; the state in it is that after the fence.
+    """
+    flush(log, root)
+    return open_store(log.sparkSession, root)
 
 
 def merge(store: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where the session names none."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a session on one machine (master ``local``) gets a temporary one; on a cluster that is an error,
+    as executors would write to disks of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidelog-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -29,6 +36,28 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` as a stored table with ``out``, the sum of ``value`` over the earlier rows of a group, and ``<out>_all``, the group's.
+
+    Rows are dealt by ranges of (group, order), so a large group lies in many parts; a window adds up inside a part, and
+    one row for each part and group carries sums on. Rows that tie in ``order`` follow each other in any order.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = durable(df.repartitionByRange(parts, *group, *order).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = placed.groupBy(*group, "__part").agg(F.sum(value).alias("__sum"))
+    over = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.select(*group, "__part", (F.sum("__sum").over(over) - F.col("__sum")).alias("__before"), F.sum("__sum").over(Window.partitionBy(*group)).alias(f"{out}_all"))
+    local = placed.withColumn("__upto", F.sum(value).over(inside) - F.col(value))
+    named = sums.select(*[F.col(c).alias(f"__{c}") for c in [*group, "__part"]], "__before", f"{out}_all")
+    on = None
+    for c in [*group, "__part"]:
+        one = F.col(c).eqNullSafe(F.col(f"__{c}"))
+        on = one if on is None else on & one
+    joined = local.join(named, on).withColumn(out, F.col("__upto") + F.col("__before"))
+    return joined.drop("__upto", "__before", "__part", *[f"__{c}" for c in [*group, "__part"]])
+
+
 def latest_before(df: DataFrame, group: list[str], step: str, order: list[str], value: str, out: str) -> DataFrame:
     """A column with the latest non-null ``value`` of earlier rows of the same group.
 

@@ -140,13 +140,32 @@ def kv_owner_histogram(spark, d):
     return ops.groupBy(h.owner_of(h.first_digit_hash(F.col("key")), 4).alias("owner")).agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_ops"))
 
 
-@query()
+def _murmur(keys: str, seed: int) -> str:
+    """SQL of the public hash: key, hash and owner of the (ASCII) keys of a query, a word at a time."""
+    byte = lambda at: f"ascii(substr(key, {at}, 1))"
+    times = lambda x, c: f"CAST(CAST({x} AS HUGEINT) * {c} % 4294967296 AS BIGINT)"
+    turn = lambda x, n: f"((({x}) << {n}) | (({x}) >> {32 - n})) & 4294967295"
+    word = f"({byte('4 * i + 1')} + {byte('4 * i + 2')} * 256 + {byte('4 * i + 3')} * 65536 + {byte('4 * i + 4')} * 16777216)"
+    rest = f"({byte('n - n % 4 + 1')} + {byte('n - n % 4 + 2')} * 256 + {byte('n - n % 4 + 3')} * 65536)"
+    scrambled = lambda w: times(turn(times(w, 3432918353), 15), 461845907)
+    return f"""WITH RECURSIVE {keys},
+    b(key, n, i, h) AS (
+      SELECT key, octet_length(encode(key)), 0, CAST({seed} AS BIGINT) FROM keys
+      UNION ALL SELECT key, n, i + 1, ({turn(f'xor(h, {scrambled(word)})', 13)}) * 5 + 3864292196 & 4294967295 FROM b WHERE 4 * (i + 1) <= n),
+    t AS (SELECT key, xor(xor(h, {scrambled(rest)}), CAST(n AS BIGINT)) AS h FROM b WHERE 4 * (i + 1) > n),
+    f1 AS (SELECT key, {times('xor(h, h >> 16)', 2246822507)} AS h FROM t),
+    f2 AS (SELECT key, {times('xor(h, h >> 13)', 3266489909)} AS h FROM f1),
+    f3 AS (SELECT key, xor(h, h >> 16) AS h FROM f2)
+    SELECT key, CAST(h AS BIGINT) AS hash, CAST(h % 4 AS INT) AS owner FROM f3"""
+
+
+@query(_murmur(f"{LOG}, keys AS (SELECT DISTINCT substr(md5(key), 1, 16) AS key FROM log)", 1))
 def kv_owner_murmur(spark, d):
     keys = events.oplog(spark, d).select(F.substring(F.md5(F.col("key").cast("binary")), 1, 16).alias("key")).distinct()
     return keys.select("key", h.hash_native(F.col("key"), 1).alias("hash"), h.owner_of(h.hash_native(F.col("key"), 1), 4).alias("owner"))
 
 
-@query()
+@query(_murmur(f"{LOG}, keys AS (SELECT DISTINCT key FROM log)", 7))
 def kv_owner_murmur_any_length(spark, d):
     keys = events.oplog(spark, d).select("key").distinct()
     return keys.select("key", h.hash_exact(F.col("key"), 7).alias("hash"), h.owner_of(h.hash_exact(F.col("key"), 7), 4).alias("owner"))
@@ -215,14 +234,96 @@ def kv_tier_lookup(spark, d):
     return state.tier_lookup(_probes(spark), tiers)
 
 
-@query()
-def kv_memtable_rollover(spark, d):
-    return folds.memtable_rollover(events.oplog(spark, d))
+#: Bytes that seal a table, so small that tables are sealed at every scale.
+ROLLOVER = 30
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LOG}, w AS (
+      SELECT owner, row_number() OVER (PARTITION BY owner ORDER BY seq) AS i, seq, key, CASE WHEN op = 'PUT' THEN octet_length(encode(value)) ELSE 0 END AS n FROM log WHERE op <> 'GET'),
+    f(owner, i, seq, run, m, entries, bytes) AS (
+      SELECT owner, i, seq, CASE WHEN octet_length(encode(key)) + n + 1 > {ROLLOVER} THEN 1 ELSE 0 END, MAP {{key: n}}, 1, octet_length(encode(key)) + n + 1 FROM w WHERE i = 1
+      UNION ALL SELECT owner, i, seq, run + CASE WHEN bytes > {ROLLOVER} THEN 1 ELSE 0 END, m, len(map_keys(m)), bytes FROM (
+        SELECT *, list_sum(map_values(m)) + list_sum(list_transform(map_keys(m), lambda k: octet_length(encode(k)) + 1)) AS bytes FROM (
+          SELECT w.owner, w.i, w.seq, f.run, map_concat(CASE WHEN f.bytes > {ROLLOVER} THEN map_from_entries(list_slice(map_entries(f.m), 1, 0)) ELSE f.m END, MAP {{w.key: w.n}}) AS m
+          FROM f JOIN w ON w.owner = f.owner AND w.i = f.i + 1)))
+    SELECT CAST(owner AS INT) AS owner, CAST(run AS BIGINT) AS run, seq AS last_seq, CAST(entries AS BIGINT) AS entries, CAST(bytes AS BIGINT) AS bytes FROM f WHERE bytes > {ROLLOVER}"""
+)
+def kv_memtable_rollover(spark, d):
+    return folds.memtable_rollover(events.oplog(spark, d), ROLLOVER)
+
+
+def _lru(limit: int) -> str:
+    """SQL of every owner's cache, an operation at a time: reads and hits; the list holds entries, the oldest first."""
+    total = "coalesce(list_sum(list_transform(x, lambda e: e.n)), 0)"
+    return f"""{LOG}, o AS (
+      SELECT owner, row_number() OVER (PARTITION BY owner ORDER BY seq) AS i, op, key,
+        last_value(CASE WHEN op = 'PUT' THEN octet_length(encode(value)) WHEN op = 'DEL' THEN 0 END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below
+      FROM log),
+    c(owner, i, x, reads, hits) AS (
+      SELECT DISTINCT owner, CAST(0 AS BIGINT), CAST([] AS STRUCT(k VARCHAR, n BIGINT)[]), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM o
+      UNION ALL SELECT owner, i, list_slice(x, coalesce(list_min(list_filter(range(1, len(x) + 2), lambda s: coalesce(list_sum(list_transform(list_slice(x, s, len(x)), lambda e: e.n)), 0) <= {limit})), 1), len(x)), reads, hits FROM (
+        SELECT o.owner, o.i, c.reads + CASE WHEN o.op = 'GET' THEN 1 ELSE 0 END AS reads, c.hits + CASE WHEN o.op = 'GET' AND len(list_filter(c.x, lambda e: e.k = o.key)) > 0 THEN 1 ELSE 0 END AS hits,
+          list_concat(list_filter(c.x, lambda e: e.k <> o.key), CASE
+            WHEN o.op <> 'GET' THEN CAST([] AS STRUCT(k VARCHAR, n BIGINT)[])
+            WHEN len(list_filter(c.x, lambda e: e.k = o.key)) > 0 THEN list_filter(c.x, lambda e: e.k = o.key)
+            ELSE [CAST(struct_pack(k := o.key, n := octet_length(encode(o.key)) + coalesce(o.below, 0)) AS STRUCT(k VARCHAR, n BIGINT))] END) AS x
+        FROM c JOIN o ON o.owner = c.owner AND o.i = c.i + 1)),
+    done AS (SELECT owner, max(reads) AS reads, max(hits) AS hits FROM c GROUP BY owner)"""
+
+
+@query(f"WITH RECURSIVE {_lru(200)} SELECT CAST(owner AS INT) AS owner, reads, hits, round(hits / reads, 6) AS ratio FROM done WHERE reads > 0")
 def kv_lru_hit_ratio(spark, d):
-    return folds.lru_hit_ratio(events.oplog(spark, d))
+    return folds.lru_hit_ratio(events.oplog(spark, d), 200)
+
+
+# ---------------------------------------------------------------- buffers, flush, shutdown, caches
+
+FITS = "CASE WHEN op = 'PUT' AND octet_length(encode(value)) > 8 THEN 'BUFFER_TOO_SMALL' ELSE {status} END AS status, CAST(CASE WHEN op = 'PUT' THEN octet_length(encode(value)) ELSE 0 END AS BIGINT) AS value_len, CASE WHEN op = 'PUT' AND octet_length(encode(value)) <= 8 THEN value END AS value"
+
+
+@query(
+    f"""WITH {LOG}, t AS (SELECT CASE WHEN epoch >= 8 THEN 0 WHEN epoch >= 4 THEN 1 ELSE 2 END AS tier, * FROM log WHERE op <> 'GET'),
+    l AS (SELECT tier, key, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM t GROUP BY tier, key),
+    f AS (SELECT key, CAST(min(tier) AS INT) AS tier, arg_min(op, tier) AS op, arg_min(coalesce(value, ''), tier) AS value FROM l GROUP BY key)
+    SELECT p.key, tier, {FITS.format(status=STATUS)} FROM (SELECT CAST(range AS VARCHAR) AS key FROM range(200)) p LEFT JOIN f ON f.key = p.key"""
+)
+def kv_tier_lookup_buffered(spark, d):
+    log = events.oplog(spark, d)
+    tiers = [state.latest(log.where(c)) for c in ("epoch >= 8", "epoch >= 4 AND epoch < 8", "epoch < 4")]
+    return state.tier_lookup(_probes(spark), tiers, 8)
+
+
+@query(f"SELECT seq, key, {FITS.format(status=STATUS)} FROM (SELECT seq, key, CASE status WHEN 'FOUND' THEN 'PUT' WHEN 'DELETED' THEN 'DEL' END AS op, value FROM ({ORACLE_SQL['kv_fence_visibility']}))")
+def kv_fence_visibility_buffered(spark, d):
+    return consistency.replay_relaxed(events.oplog(spark, d), 8)
+
+
+@query(f"WITH {LOG}, {GENS} SELECT p.key, {FITS.format(status=STATUS)} FROM (SELECT CAST(range AS VARCHAR) AS key FROM range(200)) p LEFT JOIN (SELECT key, CASE WHEN tombstone THEN 'DEL' ELSE 'PUT' END AS op, v AS value FROM newest) n ON n.key = p.key")
+def kv_stored_read_buffered(spark, d):
+    return storage.read(_stored(spark, d), _probes(spark), 8)
+
+
+@query(f"WITH {LOG}, {GENS} SELECT '42' AS key, CASE WHEN gen IS NULL THEN 'NOT_FOUND' WHEN tombstone THEN 'DELETED' ELSE 'FOUND' END AS status, CASE WHEN NOT tombstone THEN v END AS value FROM (SELECT 1) LEFT JOIN newest ON key = '42'")
+def kv_stored_point_read(spark, d):
+    return storage.get_key(_stored(spark, d), "42", 42 % 4)
+
+
+@query(f"WITH {LOG}, {GENS} SELECT key, gen, tombstone, CASE WHEN NOT tombstone THEN v END AS value FROM newest")
+def kv_flush_and_close(spark, d):
+    log, root = events.oplog(spark, d), fresh_folder(spark, "generations")
+    storage.flush(log.where("epoch < 4"), root)
+    storage.flush(log.where("epoch < 4"), root)
+    return storage.newest(storage.close(log, root)).select("key", F.col("gen").cast("bigint").alias("gen"), "tombstone", "value")
+
+
+@query(
+    f"""WITH {LOG} SELECT seq, writer, key, epoch >= 3 AND epoch < 7 AND row_number() OVER (PARTITION BY writer, key, epoch >= 3 AND epoch < 7 ORDER BY seq) > 1 AS hit
+    FROM log WHERE op = 'GET' AND writer <> owner"""
+)
+def kv_remote_cache_hits(spark, d):
+    options = spark.createDataFrame([(0, "RELAXED", "READANDWRITE"), (3, "SEQUENTIAL", "READONLY"), (7, "SEQUENTIAL", "READANDWRITE")], "epoch bigint, consistency string, mode string")
+    return consistency.remote_cache_hits(events.oplog(spark, d), options)
 
 
 @query(f"WITH {LOG} SELECT key, op, value, seq FROM latest ORDER BY key")
@@ -241,10 +342,10 @@ def bloom_sizing(spark, d):
 
 @query(
     """SELECT CAST(range AS BIGINT) AS x, printf('%02X%02X%02X%02X', range & 255, (range >> 8) & 255, (range >> 16) & 255, (range >> 24) & 255) AS code, CAST(range AS BIGINT) AS back
-    FROM range(0, 500000, 97)"""
+    FROM range(500000)"""
 )
 def codec_roundtrip(spark, d):
-    x = spark.range(0, 500000, 97).select(F.col("id").alias("x"))
+    x = spark.range(500000).select(F.col("id").alias("x"))
     return x.withColumn("code", h.encode_int(F.col("x"))).withColumn("back", h.decode_int(F.col("code")))
 
 
@@ -444,6 +545,6 @@ def stream_lww(spark, d):
     return streams.stream_lww(spark, d)
 
 
-@query()
+@query(f"WITH RECURSIVE {_lru(200)} SELECT CAST(owner AS INT) AS owner, reads, hits FROM done WHERE reads > 0")
 def stream_lru(spark, d):
-    return streams.stream_lru(spark, d)
+    return streams.stream_lru(spark, d, 200)

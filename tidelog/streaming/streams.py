@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
-from tidelog.operators.folds import LRUCache
+from tidelog.operators.folds import LRUCache, through_cache
 from tidelog.operators.tables import fresh_folder
 from tidelog.sources.events import to_oplog
 
@@ -60,38 +62,57 @@ def stream_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 READS = "owner int, seq bigint, status string, hit boolean"
-_STATE = "cache binary"
+#: The state store that has maps as state.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def lru_stream(log: DataFrame, limit: int = 1000) -> DataFrame:
-    """Reads of a log stream through each owner's byte-bounded cache; the state is the cache and the last writes."""
-    import pickle
+class CachedReads(StatefulProcessor):
+    """Reads of an owner through its byte-bounded cache.
+
+    The last write of each key is an entry of a map state, so a micro-batch loads only the keys it touches; the cache,
+    which its limit bounds, is a value of its own.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        cache, store = pickle.loads(state.get[0]) if state.exists else (LRUCache(limit), {})
-        rows = pd.concat(list(frames)).sort_values("seq")
+    def init(self, handle) -> None:
+        self.last = handle.getMapState("last", "key string", "op string, n bigint")
+        self.cached = handle.getValueState("cached", "data binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        cache = pickle.loads(self.cached.get()[0]) if self.cached.exists() else LRUCache(self.limit)
+        batch = pd.concat(list(rows)).sort_values("seq")
         out = []
-        for seq, op, k, value in zip(rows["seq"], rows["op"], rows["key"], rows["value"]):
-            k = k.encode()
+        for seq, op, k, value in zip(batch["seq"], batch["op"], batch["key"], batch["value"]):
+            below, n = None, 0
             if op != "GET":
-                store[k] = len(value.encode()) if op == "PUT" and value is not None else None
-                cache.invalidate([k])
-                continue
-            found = cache.get(k)
-            if found is None:
-                n = store.get(k)
-                status = "NOT_FOUND" if k not in store else "DELETED" if n is None else "FOUND"
-                cache.put(k, status, n or 0)
-                out.append((key[0], seq, status, False))
-            else:
-                out.append((key[0], seq, found[0], True))
-        state.update((pickle.dumps((cache, store)),))
+                self.last.updateValue((k,), (op, len(value.encode()) if op == "PUT" and value is not None else 0))
+            elif cache.get(k.encode()) is None and self.last.containsKey((k,)):
+                below, n = self.last.getValue((k,))
+            found = through_cache(cache, op, k.encode(), below, n)
+            if found is not None:
+                out.append((key[0], seq, *found))
+        self.cached.update((pickle.dumps(cache),))
         yield pd.DataFrame(out, columns=["owner", "seq", "status", "hit"])
 
-    return log.select("owner", "seq", "op", "key", "value").groupBy("owner").applyInPandasWithState(step, READS, _STATE, "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def lru_stream(log: DataFrame, limit: int = 1000) -> DataFrame:
+    """Reads of a log stream through each owner's byte-bounded cache. It needs the state store ``ROCKSDB``."""
+    dealt = log.select("owner", "seq", "op", "key", "value").groupBy("owner")
+    return dealt.transformWithStateInPandas(CachedReads(limit), READS, "Append", "None")
 
 
 def stream_lru(spark: SparkSession, sf_dir: str, limit: int = 1000) -> DataFrame:
     """Per owner: reads and hits, from the stream."""
-    found = drained(lru_stream(to_oplog(read_events(spark, sf_dir)), limit), "append", "lru")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        found = drained(lru_stream(to_oplog(read_events(spark, sf_dir)), limit), "append", "lru")
+    finally:
+        spark.conf.set(name, before)
     return found.groupBy("owner").agg(F.count("*").alias("reads"), F.sum(F.col("hit").cast("bigint")).alias("hits"))
