@@ -445,8 +445,10 @@ def leaks_brute(docs, items, size=13):
     return out
 
 
-@pytest.mark.parametrize("block", [1_000_000, 300])
-def test_leaks_against_brute_force(spark, hard, block):
+@pytest.mark.parametrize("block, prefix", [(1_000_000, 200_000), (300, 200_000), (300, 150)])
+def test_leaks_against_brute_force(spark, hard, monkeypatch, block, prefix):
+    """As a broadcast index, and as a join with one and with several blocks of prefix words."""
+    monkeypatch.setattr(decontam, "PREFIX_WORDS", prefix)
     t = pq.read_table(f"{SF}/benchmark.parquet").to_pydict()
     items = list(zip(t["item_id"], t["text"])) + [(900, "the"), (901, ""), (902, None), (903, "of the and to"), (903, "of the and to")]
     docs = list(texts().items()) + [(r[0], r[1]) for r in HARD] + [(2000, items[0][1].upper() + " the"), (2001, "The")]
