@@ -312,6 +312,24 @@ def test_propagation(spark):
     assert all(t == d == 0 for t, d in want.values())
 
 
+def test_only_links_are_edges_and_hosts_are_folded_alike(spark):
+    rows = [(1, "http://M.site.Ünï.org/x", "<a href='HTTP://OTHER.ÜNÏ.org/'>"), (2, "http://other.ÜNÏ.org/y", None), (3, "http://a.b.c.d.org/z", "")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    assert [tuple(r) for r in urls.host_edges(pages).collect()] == [("m.site.Ünï.org", "other.ÜnÏ.org", 1.0)]
+    family = {(r["src"], r["dst"]) for r in urls.host_edges(pages, family=4).collect()}
+    assert family >= {("a.b.c.d.org", "b.c.d.org"), ("b.c.d.org", "a.b.c.d.org"), ("m.site.Ünï.org", "site.Ünï.org")}
+
+
+def test_hot_hosts_get_their_scores_in_parts(spark, monkeypatch):
+    rows = [(i, f"http://bad.com/{'de' if i % 3 == 0 else 'x'}/{i % 40}", "h", "p") for i in range(100)] + [(200, "http://lone.net/x", "h", "p"), (201, None, "h", "p")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, host string, part string").withColumn("html", F.lit("<a href='http://lone.net/'>"))
+    want = sorted(tuple(r) for r in urls.judge(pages, keep=("page_id", "part")).collect())
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(urls, "HOT_PAGES", 7)
+    assert sorted((tuple(r) for r in urls.judge(pages, keep=("page_id", "part")).collect())) == want and len(want) == len(rows)
+    assert {r[1] for r in want} == {"p"}
+
+
 def test_a_host_that_links_to_blocked_hosts_is_blocked(spark):
     rows = [
         (1, "http://bad.com/de/1", ""),

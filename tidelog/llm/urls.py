@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import durable, stored, table
+from tidelog.llm.common import BROADCAST_ROWS, durable, sized, stored, table
 
 #: Host, path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -20,15 +20,18 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 1.0
 #: Scores have converged when a round changes them by less than this, summed over all hosts and both scores.
 TOLERANCE = 1e-9
+#: Pages of one host that may meet in one task, about, where its scores are too many to broadcast.
+HOT_PAGES = 100_000
 #: Edges for each task of a round, about.
 TASK_EDGES = 200_000
-#: Labels from which on a host has a parent that counts as linked with it (m.site.example.org and site.example.org).
-FAMILY_LABELS = 4
 
 
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty for null or without ://."""
-    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
+    return _folded(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+
+
+def _folded(host: Column) -> Column:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -47,16 +50,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if rule is None else (rule, verdict)
 
 
-def host_edges(pages: DataFrame, url: str = "url", html: str = "html", family: int = FAMILY_LABELS) -> DataFrame:
-    """(src, dst, w): links between different hosts, counted; and a link both ways between a host and its parent."""
+def host_edges(pages: DataFrame, url: str = "url", html: str = "html", family: int | None = None) -> DataFrame:
+    """(src, dst, w): links between different hosts, counted.
+
+    With ``family``, a host of so many labels and its parent (m.site.example.org and site.example.org) count as linked both
+    ways, too. Both ends of a link are folded alike.
+    """
     target = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
     found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(target), F.lit(1))
-    links = pages.select(host_of(F.col(url)).alias("src"), F.explode(found).alias("dst")).withColumn("dst", F.lower("dst"))
+    links = pages.select(host_of(F.col(url)).alias("src"), F.explode(found).alias("dst")).withColumn("dst", _folded(F.col("dst")))
+    edges = links if family is None else links.unionByName(_family(pages, url, family))
+    return edges.where("src != dst AND src != '' AND dst != ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+
+
+def _family(pages: DataFrame, url: str, family: int) -> DataFrame:
     hosts = pages.select(host_of(F.col(url)).alias("src")).distinct()
     child = hosts.where(F.size(F.split("src", "[.]")) >= family).select("src", F.regexp_replace("src", r"^[^.]*\.", "").alias("dst"))
-    family_edges = child.unionByName(child.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    edges = links.unionByName(family_edges).where("src != dst AND src != '' AND dst != ''")
-    return edges.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    return child.unionByName(child.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -91,27 +101,43 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     return state
 
 
+def _with_scores(base: DataFrame, scores: DataFrame) -> DataFrame:
+    """``base`` with the scores of its hosts: broadcast if they are few; else hot hosts go in parts, a row of scores to each."""
+    if scores.count() <= BROADCAST_ROWS:
+        return base.join(F.broadcast(scores), "host", "left")
+    counts = base.groupBy("host").agg(F.count("*").alias("n"))
+    parts = counts.where(F.col("n") > HOT_PAGES).select("host", F.ceil(F.col("n") / HOT_PAGES).cast("int").alias("parts"))
+    hot = sized(durable(parts))
+    part = F.coalesce("parts", F.lit(1))
+    dealt = base.join(hot, "host", "left").withColumn("part", F.pmod(F.xxhash64("path", *[c for c in base.columns if c.startswith("__keep")]), part).cast("int")).drop("parts")
+    spread = scores.join(hot, "host", "left").select("host", "trust", "distrust", F.explode(F.sequence(F.lit(0), part - 1)).alias("part"))
+    return dealt.join(spread, ["host", "part"], "left").drop("part")
+
+
 def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",), rounds: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Kept columns with host, path, rule, verdict, trust and distrust (of the host, converged unless ``rounds`` is set).
 
     Null URLs, and those without ``://``, have an empty host and path, no rule, no trust and the verdict allow, as
     have all hosts that neither seeds nor edges reach. A seed's strength is the share of its pages with a rule that
     rules allow (block). Ties between trust and distrust are allowed. Repeated rows count as pages of their own and
-    each has a row; an empty table gives an empty result.
+    each has a row; very long pages are searched whole, in linear time; an empty table gives an empty result. A kept
+    column that is called like a result gives way to it, others may have any name. Only a link in the HTML is an edge. A
+    host with very many pages is dealt out in parts, each with a row of its scores.
     """
     keep = tuple(c for c in keep if c not in ("host", "path", "rule", "verdict", "trust", "distrust"))
-    base = pages.select(*keep, F.col(url).alias("__url"))
-    base = base.select(*keep, host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"))
+    own = [f"__keep{i}" for i in range(len(keep))]
+    base = pages.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(keep, own)], F.col(f"`{url}`").alias("__url"))
+    base = base.select(*own, host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"))
     rule, by_rule = rule_of(F.col("host"), F.col("path"), rules)
     base = base.select("*", rule.alias("rule"), by_rule.alias("__by_rule"))
     of = lambda v: F.avg(F.when(F.col("__by_rule") == v, 1.0).otherwise(0.0))
     seeds = base.where("rule IS NOT NULL AND host != ''").groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
     edges = durable(host_edges(pages.select(F.col(url).alias("url"), F.col(html).alias("html"))))
     scores = propagate(edges, seeds, rounds=rounds)
-    found = base.join(scores, "host", "left")
+    found = _with_scores(base, scores)
     suspect = F.coalesce(F.col("distrust"), F.lit(0.0)) > threshold * F.coalesce(F.col("trust"), F.lit(0.0))
     verdict = F.coalesce("__by_rule", F.when(suspect, "block").otherwise("allow"))
-    return found.select(*keep, "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    return found.select(*[F.col(o).alias(c) for c, o in zip(keep, own)], "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
