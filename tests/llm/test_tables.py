@@ -320,6 +320,34 @@ def test_only_links_are_edges_and_hosts_are_folded_alike(spark):
     assert family >= {("a.b.c.d.org", "b.c.d.org"), ("b.c.d.org", "a.b.c.d.org"), ("m.site.Ünï.org", "site.Ünï.org")}
 
 
+def test_urls_against_sql(spark):
+    """On the table, and on pages with many links between hosts."""
+    import duckdb
+
+    rnd = random.Random(7)
+    host = lambda: rnd.choice(("a.org", "b.com", "c.net", "D.net", "e.net", "f.example.org", "g.io", "h.io", "i.io", "j.io"))
+    rows = [(i, f"http://{host()}/{rnd.choice(('fr', 'de', 'es', 'x'))}/{i}", "".join(f"<a href='//{host()}/'>" for _ in range(rnd.randint(0, 3)))) for i in range(80)]
+    rows += [(100, None, None), (101, "x", "<a href=http://a.org>"), (102, "http://k.com/de/1", "")]
+    rows += [(110 + i, f"http://s{i}.io/x", f"<a href='//{'k.com' if i == 0 else f's{i - 1}.io'}/'>") for i in range(6)]
+    con = duckdb.connect()
+    for df, view in ((spark.createDataFrame(rows, "page_id bigint, url string, html string"), None), (spark.read.parquet(f"{SF}/pages.parquet"), f"{SF}/pages.parquet")):
+        if view is None:
+            con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+            con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+            got = urls.judge(df).withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
+        else:
+            con.sql("DROP TABLE pages")
+            con.sql(f"CREATE VIEW pages AS SELECT * FROM '{view}'")
+            got = urls.op8_urls(spark, SF)
+        want = con.sql(urls.OP8_SQL)
+        names = sorted(want.columns)
+        key = lambda r: (r[0], *[x if isinstance(x, str) else x and round(x, 5) for x in r[1:]])
+        found = sorted(key((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"], r["trust"], r["distrust"])) for r in got.collect())
+        assert names == sorted(got.columns) and found == sorted(key(r) for r in want.select("page_id, host, path, rule, verdict, trust, distrust").fetchall())
+        if view is None:
+            assert {v for *_, v, _, _ in found} == {"allow", "block"} and sum(r is None and v == "block" for _, _, _, r, v, _, _ in found) > 3
+
+
 def test_hot_hosts_get_their_scores_in_parts(spark, monkeypatch):
     rows = [(i, f"http://bad.com/{'de' if i % 3 == 0 else 'x'}/{i % 40}", "h", "p") for i in range(100)] + [(200, "http://lone.net/x", "h", "p"), (201, None, "h", "p")]
     pages = spark.createDataFrame(rows, "page_id int, url string, host string, part string").withColumn("html", F.lit("<a href='http://lone.net/'>"))
@@ -420,3 +448,37 @@ def test_language_stage_without_labels_keeps_texts_with_letters(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert got and len({r["doc_id"] for r in got}) == len(got)
+
+
+def test_run_against_brute_force(spark):
+    """What the language stage keeps, then pairwise near duplicates, window by window leaks, patterns, and the public library."""
+    import hashlib
+
+    import public_tokenizers as P
+    import tiktoken
+    from test_text_operators import leaks_brute, pii_brute, redacted_brute
+
+    from tidelog.llm import bpe
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in corpus_pipeline.language(spark, docs, SF).select("doc_id", "text").collect()]
+    assert {i for i, _ in rows} >= {r["doc_id"] for r in docs.collect() if r["lang"] and len(re.findall(r"[^\W\d_]", r["text"] or "")) > 0}
+    first = {c for _, _, c in components_brute(rows)}
+    rows = [(i, t) for i, t in rows if i in first]
+    items = pq.read_table(f"{SF}/benchmark.parquet").to_pydict()
+    leaked = {i for i, n, hit, _ in leaks_brute(rows, list(zip(items["item_id"], items["text"]))) if hit and 20 * hit >= n}
+    assert leaked
+    public = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = {}
+    for i, t in rows:
+        if i not in leaked:
+            ids = public.encode_ordinary(redacted_brute(t, pii_brute(t)))
+            want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert len(got) == len(want) and {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in got} == want
+
+
+def test_repeated_rows_that_differ_elsewhere_leave_one(spark):
+    rows = [(1, "one two three four five six", f"s{i}") for i in range(50)] + [(2, "", "a"), (2, "", "a"), (2, "", "b"), (3, None, "a"), (3, None, "a")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string, source string"), SF).collect()
+    assert sorted((r["doc_id"], r["source"]) for r in got) == [(1, "s0"), (2, "a"), (3, "a")]

@@ -17,5 +17,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op5_revisits": warc.OP5_SQL,
     "op6_decontaminate": decontam.OP6_SQL,
+    "op8_urls": urls.OP8_SQL,
     "op9_jaccard": jaccard.OP9_SQL,
 }

@@ -141,5 +141,39 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", k
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every URL of ``pages``, judged."""
-    return judge(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    """Every URL of ``pages``, judged; the host's scores are given to six decimals."""
+    found = judge(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
+
+
+def _sql(rounds: int = 250) -> str:
+    """The same with a fixed number of rounds, which is enough for scores of up to a million hosts to converge."""
+    order = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in order]
+    case = lambda values: "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, v in zip(fits, values)) + " END"
+    fold = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    link = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)"""
+    return rf"""
+WITH RECURSIVE p AS (
+  SELECT page_id, {fold("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages),
+r AS (SELECT *, {case([h + q for h, q, _ in order])} AS rule, {case([v for *_, v in order])} AS by_rule FROM p),
+seeds AS (SELECT host, avg(CASE WHEN by_rule = 'allow' THEN 1.0 ELSE 0.0 END) AS t, avg(CASE WHEN by_rule = 'block' THEN 1.0 ELSE 0.0 END) AS d FROM r WHERE rule IS NOT NULL AND host <> '' GROUP BY host),
+links AS (SELECT host AS src, {fold("x")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS x FROM p)),
+edges AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM links WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+share AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS f, w / sum(w) OVER (PARTITION BY dst) AS b FROM edges),
+pr(k, host, t, d) AS (
+  SELECT 0, host, t, d FROM seeds
+  UNION ALL SELECT k + 1, host, sum(t), sum(d) FROM (
+    SELECT k, seeds.host, {1 - DAMPING!r} * seeds.t AS t, {1 - DAMPING!r} * seeds.d AS d FROM seeds, (SELECT DISTINCT k FROM pr)
+    UNION ALL SELECT k, dst, {DAMPING} * t * f, 0.0 FROM pr JOIN share ON src = host
+    UNION ALL SELECT k, src, 0.0, {DAMPING} * d * b FROM pr JOIN share ON dst = host)
+  WHERE k < {rounds} GROUP BY k, host),
+s AS (SELECT host, t, d FROM pr WHERE k = {rounds})
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN coalesce(d, 0) > {THRESHOLD} * coalesce(t, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+       round(coalesce(t, 0.0), 6) AS trust, round(coalesce(d, 0.0), 6) AS distrust
+FROM r LEFT JOIN s USING (host)
+"""
+
+
+OP8_SQL = _sql()
