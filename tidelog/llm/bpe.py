@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 from tidelog.llm.common import map_text, table
 
-#: Pieces that one worker remembers at most; the table is emptied when it is full. Results don't depend on it.
-CACHE_PIECES = 500_000
+#: Pieces that one worker remembers at most, and their bytes, about; the table is emptied when it is full. Pieces of more
+#: than CACHE_LONGEST characters aren't remembered. Results don't depend on it.
+CACHE_PIECES, CACHE_BYTES, CACHE_LONGEST = 150_000, 24_000_000, 64
 #: Pieces of up to so many bytes are encoded as rows of a matrix.
 SHORT = 32
 _NONE = np.int64(1) << 62
@@ -304,6 +305,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         self.merger = Merger(ranks)
         self.known: dict[str, bytes] = {}
+        self.held = 0
         tokens = self.merger.tokens
         self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.begin = np.cumsum(self.sizes) - self.sizes
@@ -313,15 +315,24 @@ class Codec:
         split_up = [split(t) for t in texts]
         known = self.known
         new = set().union(*split_up).difference(known) if split_up else set()
-        if len(known) + len(new) > CACHE_PIECES:
+        more = 150 * len(new) + 3 * sum(map(len, new))
+        if len(known) + len(new) > CACHE_PIECES or self.held + more > CACHE_BYTES:
             known.clear()
+            self.held = 0
             new = set().union(*split_up)
         todo = list(new)
         for a in range(0, len(todo), 50_000):
             some = todo[a : a + 50_000]
             known.update(zip(some, self.merger.encode_all([p.encode("utf-8", "surrogatepass") for p in some])))
         get = known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split_up]
+        out = [b"".join(map(get, pieces)) for pieces in split_up]
+        if len(known) > CACHE_PIECES or more > CACHE_BYTES:
+            known.clear()
+        else:
+            for piece in [p for p in todo if len(p) > CACHE_LONGEST]:
+                del known[piece]
+        self.held = self.held + more if known else 0
+        return out
 
     def decode_many(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each id sequence: one gather over the vocabulary's bytes for all of them."""
@@ -352,9 +363,10 @@ def bpe(df: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...
     """Encode whole texts by the ranks of ``vocabulary`` and decode the ids again, without a shuffle.
 
     Adds n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256; with ``with_ids``
-    the ids themselves as that binary, with ``with_bytes`` the decoded bytes. Null and empty texts have no tokens. Very long pieces take
-    O(n log n). Repeated rows have repeated results; an empty table gives an empty result. The vocabulary (its size
-    is fixed by the file) is read once on the driver and broadcast.
+    the ids themselves as that binary, with ``with_bytes`` the decoded bytes. Null and empty texts have no tokens. Very long
+    pieces take O(n log n). Repeated rows have repeated results; an empty table gives an empty result; a kept column that
+    is called like a result gives way to it, others may have any name. The vocabulary (its size is fixed by the file) is
+    read once on the driver and broadcast.
     """
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]

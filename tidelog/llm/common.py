@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one call of a text function gets at most (one longer text is a call of its own).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
+#: Rows and bytes of an Arrow batch, at most (one longer row is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -55,6 +57,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slim_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on Arrow batches to ours: rows here are whole texts, and several tasks share a machine."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub("[bB]$", "", str(spark.conf.get(f"spark.sql.execution.arrow.{name}"))) or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def release() -> None:
     """Give memory that Arrow and the C library hold back to the system: workers live on when a task ends."""
     pa.default_memory_pool().release_unused()
@@ -104,6 +114,7 @@ def map_text(
     each column of ``also``, to one list per field. With ``rows`` those lists may have any length and ``keep`` is
     empty. A kept column with the name of a new field gives way to the new one.
     """
+    slim_batches(df.sparkSession)
     new = {name for name, _ in fields}
     keep = [c for c in keep if c not in new]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, t) for n, t in fields])

@@ -19,9 +19,10 @@ from tidelog.llm.common import crc_mod, exact_sample, map_text, table
 
 #: Hashed features of a text.
 DIMS = 4096
-#: Training rows for each language at most (the bounded sample that is fitted), and for all of them together: above 25
-#: languages each has its part of these, so that every language is learned and the driver's memory is bounded.
-SAMPLE, SAMPLE_TOTAL = 800, 20_000
+#: Training rows for each language at most (the bounded sample that is fitted), and for all of them together: above 10
+#: languages each has its part of these, so that every language is learned and the driver holds 131 MB of features at
+#: most (two rows of DIMS half-precision numbers for each text).
+SAMPLE, SAMPLE_TOTAL = 800, 8_000
 #: Difference of the two best codewords' shares below which a text is ambiguous.
 AMBIGUOUS = 0.1
 #: Weighted logistic loss for each bit from which on a text may be far from a codeword (a bit that knows nothing costs
@@ -139,15 +140,18 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
         return apply
 
-    found = map_text(rows, text, [], [("x", T.BinaryType()), ("y", T.StringType())], make, also=(lang,), rows=True).collect()
-    found.sort(key=lambda r: (r["y"], r["x"]))
-    names = sorted({r["y"] for r in found})
-    y = np.array([names.index(r["y"]) for r in found], int)
-    x = np.empty((len(found), DIMS), np.float16)
-    for i in range(len(found) - 1, -1, -1):
-        x[i] = np.frombuffer(found.pop()["x"], np.float16)
+    found = map_text(rows, text, [], [("x", T.BinaryType()), ("y", T.StringType())], make, also=(lang,), rows=True).toArrow()
+    label, rank = found.column("y").to_pylist(), found.column("x").to_pylist()
+    del found
+    order = sorted(range(len(label)), key=lambda i: (label[i], rank[i]))
+    names = sorted(set(label))
     if not names:
         return {"names": names}
+    number = {n: i for i, n in enumerate(names)}
+    y = np.array([number[label[i]] for i in order], int)
+    x = np.empty((len(order), DIMS), np.float16)
+    for at, i in enumerate(order):
+        x[at], rank[i] = np.frombuffer(rank[i], np.float16), None
     model = fit(x, y, len(names))
     return {"names": names} | model | {"far": far_from(model, x)}
 
@@ -157,8 +161,9 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str,
 
     Null texts and texts without a letter are ``und`` with score 0 and not ambiguous, as are all texts where
     nothing was learned. Rejected are null texts, texts without a letter and, where two labels and more were learned,
-    texts of ``FAR_LETTERS`` letters and more that are far from every codeword. Ties go to the first language in alphabetical order. Very long texts are read whole; an
-    empty table gives an empty result; repeated rows have repeated results. No shuffle.
+    texts of ``FAR_LETTERS`` letters and more that are far from every codeword. Ties go to the first language in
+    alphabetical order. Very long texts are read whole; an empty table gives an empty result; repeated rows have repeated
+    results; a kept column that is called like a result gives way to it, others may have any name. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType()), ("rejected", T.BooleanType())]
