@@ -357,6 +357,27 @@ def workload_mix(spark, d):
     return workload.mix(spark, 10000, 4, 5).groupBy("rank", "op").agg(F.count("*").alias("n"))
 
 
+@query("SELECT CAST(range AS INT) AS rank, CAST(500 AS BIGINT) AS n, CAST(500 AS BIGINT) AS keys, 16 AS shortest, 16 AS longest, true AS in_charset FROM range(4)")
+def workload_keys(spark, d):
+    keys = workload.key_set(spark, 500, 4)
+    return keys.groupBy("rank").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"), F.min(F.length("key")).alias("shortest"), F.max(F.length("key")).alias("longest"), F.bool_and(F.col("key").rlike("^[a-zA-Z0-9]+$")).alias("in_charset"))
+
+
+@query("SELECT CAST(range % 4 AS INT) AS rank, CASE WHEN range // 4 % 2 = 0 THEN 'FOUND' ELSE 'DELETED' END AS status, CAST(CASE WHEN range // 4 % 2 = 0 THEN 32 ELSE 0 END AS BIGINT) AS value_len, count(*) AS n FROM range(2000) GROUP BY ALL")
+def workload_phases(spark, d):
+    keys = workload.key_set(spark, 500, 4)
+    ops = workload.put_phase(keys, 32).unionByName(workload.delete_phase(keys.where("i % 2 = 1")))
+    log = ops.withColumn("seq", F.col("epoch") * 1_000_000 + F.col("i") * 4 + F.col("rank"))
+    read = state.multi_get(log, keys.select("key")).join(keys, "key")
+    return read.groupBy("rank", "status", "value_len").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(range AS INT) AS rank, CAST(5000 AS BIGINT) AS n, CAST(100 AS BIGINT) AS keys, CAST(0 AS BIGINT) AS least, CAST(99 AS BIGINT) AS greatest, true AS even FROM range(4)")
+def workload_probe(spark, d):
+    ops = workload.uniform_probe(workload.mix(spark, 5000, 4, 5), 100, 7).groupBy("rank", "key_no").agg(F.count("*").alias("n"))
+    return ops.groupBy("rank").agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.min("key_no").alias("least"), F.max("key_no").alias("greatest"), F.bool_and(F.col("n").between(20, 90)).alias("even"))
+
+
 @query("SELECT CAST(16 AS BIGINT) AS key_len, v AS value_len, CAST((16 + v) * 10000 * 24 AS BIGINT) AS bytes, (16 + v) * 240000 / 1024.0 AS kb, (16 + v) * 240000 / 1048576.0 AS mb, (16 + v) * 240000 / 1073741824.0 AS gb FROM (SELECT CAST(unnest([256, 65536, 131072]) AS BIGINT) AS v)")
 def dataset_size(spark, d):
     v = spark.createDataFrame([(16, n) for n in (256, 65536, 131072)], "key_len bigint, value_len bigint")
