@@ -558,6 +558,63 @@ def mean_line(spark, d):
     return a.mean_line(events.measurements(spark, d), ["db", "rank"], "optime").select("db", "rank", F.round("mean", 4).alias("mean"), F.round("half_width", 4).alias("half_width"))
 
 
+# ---------------------------------------------------------------- measurement files, written and read back
+
+
+@query(f"WITH {M} SELECT optime, owner, count(*) AS n FROM m WHERE run = 3 GROUP BY ALL")
+def source_optimes(spark, d):
+    m, root = events.measurements(spark, d).where("run = 3"), fresh_folder(spark, "optimes")
+    measurements.write_optimes(m.select("db", "run", "op", "rank", "optime", "owner").withColumn("optime", F.col("optime").cast("double")), root)
+    return measurements.read_optimes(spark, root, "*.csv").groupBy("optime", "owner").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {M} SELECT db, run AS ratio, CAST(24 AS INT) AS ranks, rank AS run, CASE WHEN run % 2 = 0 THEN owner END AS mem_table_size, CASE op WHEN 'F' THEN 'get' ELSE 'put_total' END AS op, rank,
+    16 AS key_size, CAST(power(2, run) AS INT) AS value_size, count(*) AS n FROM m GROUP BY ALL"""
+)
+def path_dimensions(spark, d):
+    m = events.measurements(spark, d)
+    part = lambda *c: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in c])
+    path = part("file:/data/16ksize", F.pow(F.lit(2), F.col("run")).cast("int").cast("string"), "vsize/", F.col("db"), "/ratio", F.col("run").cast("string"), "/ranks24/run", F.col("rank").cast("string"), F.when(F.col("run") % 2 == 0, part("/mt", F.col("owner").cast("string"))).otherwise(""), "/", F.when(F.col("op") == "F", "get").otherwise("put_total"), F.col("rank").cast("string"), ".txt")
+    dimensions = measurements.path_dimensions(F.col("path"))
+    found = m.select(path.alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+    return found.select(*[c.alias(n) for n, c in dimensions.items()], "n").groupBy(*dimensions).agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {PARSED} SELECT rank_count, update_ratio, CAST(16 AS BIGINT) AS keylen, count(*) AS n, CAST(sum(put_time) AS BIGINT) AS put_time, CAST(sum(get_update_time) AS BIGINT) AS get_update_time FROM l GROUP BY ALL")
+def source_lines(spark, d):
+    root = fresh_folder(spark, "lines")
+    _lines(spark, d).select("value").write.text(root)
+    found = measurements.read_lines(spark, root, "*.txt")
+    return found.groupBy("rank_count", "update_ratio", "keylen").agg(F.count("*").alias("n"), F.sum("put_time").alias("put_time"), F.sum("get_update_time").alias("get_update_time"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) * 1000003 AS value FROM nation")
+def source_scalars(spark, d):
+    root = fresh_folder(spark, "scalars")
+    n = events.read(spark, d, "nation")
+    n.select((F.col("n_nationkey").cast("bigint") * 1000003).cast("string").alias("value"), F.col("n_nationkey").alias("rank")).write.partitionBy("rank").text(root)
+    return measurements.read_scalars(spark, root, "*.txt").select("value")
+
+
+@query("SELECT p_type AS bench_name, p_size AS key_len, CAST(p_partkey % 2 AS INT) AS equal, p_partkey * 7 AS cycles FROM part")
+def source_csv(spark, d):
+    root = fresh_folder(spark, "csv")
+    p = events.read(spark, d, "part")
+    p.select(F.col("p_type").alias("bench_name"), F.col("p_size").alias("key_len"), (F.col("p_partkey") % 2).cast("int").alias("equal"), (F.col("p_partkey") * 7).alias("cycles")).write.option("header", "true").csv(root)
+    return measurements.read_csv(spark, root)
+
+
+@query("SELECT CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS nth, (n_nationkey * 1000 + 17) / 1000.0 AS runtime, count(*) OVER (PARTITION BY n_regionkey) AS of_file FROM nation")
+def source_runtimes(spark, d):
+    root = fresh_folder(spark, "runtimes")
+    n = events.read(spark, d, "nation").repartition("n_regionkey").sortWithinPartitions("n_regionkey", "n_nationkey")
+    text = F.concat(F.lit("[READ], Operations, 5\n[OVERALL], RunTime(ms), "), (F.col("n_nationkey") * 1000 + 17).cast("string"), F.lit("\n[OVERALL], Throughput(ops/sec), 1.5"))
+    n.select(text.alias("value"), "n_regionkey").write.partitionBy("n_regionkey").text(root)
+    found = measurements.read_runtimes(spark, root, "*.txt")
+    return found.join(found.groupBy("file").agg(F.count("*").alias("of_file")), "file").select("nth", "runtime", "of_file")
+
+
 # ---------------------------------------------------------------- streams
 
 
