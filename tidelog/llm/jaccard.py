@@ -7,12 +7,12 @@
 3. Similar classes are partitioned into groups: min-hash keys over the rarer half of the shared shingles bring
    classes together, and each is compared with a few pivots of its key, the most central classes first (those whose
    shingles are most widely shared: of copies with changes, the original). Verified links make the groups.
-4. The matrix holds each group's token union: every shingle that a member has, with the range of the sizes of those that
-   have it. A class is a query: the shingles of its prefix are sought in the unions of the other groups. How many are
-   there, and how many shingles follow the prefix, bounds its overlap with the union, and so with any member; groups
-   that fall short stay closed. Qualifying groups are compared by their most central members first; a group that stays
-   apart is opened for its query: members meet it in prefix shingles, within the bounds on size and position, and
-   every candidate is verified. No true link can be missed: sets with a similarity of 3/4 share ceil(3n/4) shingles of
+4. Groups whose prefix shingles meet, within the bounds on size and position, are compared by their most central members
+   first. For those that stay apart, the matrix holds each group's token union: every shingle that a member has, with the
+   range of the sizes of those that have it. A class is a query: the shingles of its prefix are counted in the union of the
+   other group. How many are there, and how many shingles follow the prefix, bounds its overlap with the union, and so
+   with any member; groups that fall short stay closed. A group that qualifies is opened for its query: members meet it
+   in prefix shingles, within the bounds on size and position, and every candidate is verified. No true link can be missed: sets with a similarity of 3/4 share ceil(3n/4) shingles of
    the longer one's n, so at least l of any n - ceil(3n/4) + l of them; and they share a shingle of the longer one's
    first n - ceil(3n/4) + 1 and the shorter one's first n - ceil(6n/7) + 1 shingles in any common order.
 """
@@ -40,7 +40,7 @@ SHINGLE, NUMER, DENOM = 5, 75, 100
 FLUSH_TOKENS, BUCKET_TOKENS, BLOCK_LEAST = 1_500_000, 1_500_000, 64
 #: Classes of a chunk of texts that make a shingle common there; classes that make it hot, at least; and how many
 #: shingles can be hot (all shingles divided by this is the least number, so there can't be more; 16 bytes each).
-LOCAL, HOT, HOT_MOST = 4, 2000, 1_000_000
+LOCAL, HOT, HOT_MOST = 3, 2000, 1_000_000
 #: Names of classes that a task remembers, so as not to deal copies again.
 SEEN = 200_000
 #: Members of a key's subgroup, about, pivots that a subgroup compares with, and keys that are tried in turn.
@@ -644,25 +644,38 @@ def verified(pairs: DataFrame, shared: DataFrame) -> DataFrame:
 def across(shared: DataFrame, group: DataFrame, parts: int) -> DataFrame:
     """Links between groups (class, g), by the token-group matrix."""
     grouped = shared.join(_sized(group), "class")
-    matrix = stored(unions(grouped)).select("token", F.col("g").alias("gb"), "low", "high")
     tokens = stored(prefixes(grouped))
-    # the query is the longer set, and no member of a group that is too short or too long can be linked with it
-    meet = tokens.select("token", F.col("class").alias("x"), F.col("g").alias("ga"), F.col("n").alias("nx")).join(matrix, "token")
-    meet = meet.where(f"ga != gb AND low <= nx AND high * {DENOM} >= nx * {NUMER}").groupBy("x", "ga", "nx", "gb").agg(F.count("*").alias("met"))
-    meet = stored(meet.where(F.col("met") >= 1 + F.floor(F.col("nx") / 8)).select("x", "ga", "gb").coalesce(parts))  # as least_met has it
+    # two groups can have a link only where the prefixes of the longer and of the shorter set meet, within the bounds on
+    # size (of the members with the token) and position (the shingles from there on must suffice for the overlap needed)
+    sizes = (F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("rest"))
+    probe = tokens.where("long").groupBy("token", "g").agg(*sizes).select("token", F.col("g").alias("ga"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("rest").alias("ra"))
+    index = tokens.where("short").groupBy("token", "g").agg(*sizes).select("token", F.col("g").alias("gb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("rest").alias("rb"))
+    meet = probe.join(index, "token").where(f"ga != gb AND ha >= lb AND hb * {DENOM} >= la * {NUMER} AND least(ra, rb) * {NUMER + DENOM} >= {NUMER} * (la + lb)")
+    meet = stored(meet.select("token", "ga", "gb", "lb", "hb", "rb"))
+    if not meet.take(1):
+        return shared.sparkSession.createDataFrame([], _EDGE)
     # a group is named by its most central class, which serves as its pivot
     once = stored(meet.select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).distinct().coalesce(parts))
     by_pivot = stored(verified(once, shared).coalesce(parts))
     merged = components(by_pivot, parts)
     to = lambda g, out: _sized(merged).select(F.col("node").alias(g), F.col("comp").alias(out))
     apart = meet.join(to("ga", "ca"), "ga", "left").join(to("gb", "cb"), "gb", "left")
-    apart = stored(apart.where("coalesce(ca, ga) != coalesce(cb, gb)").select("x", "gb").coalesce(parts))
+    apart = stored(apart.where("coalesce(ca, ga) != coalesce(cb, gb)").select("token", "ga", "gb", "lb", "hb", "rb"))
+    if not apart.take(1):
+        return by_pivot
+    apart = _sized(apart)
+    long = tokens.where("long").select("token", F.col("g").alias("ga"), F.col("class").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    asks = long.join(apart, ["token", "ga"]).where(f"nx >= lb AND hb * {DENOM} >= nx * {NUMER} AND least(nx - ax, rb) * {NUMER + DENOM} >= {NUMER} * (nx + lb)")
+    asks = _sized(stored(asks.select("x", "gb").distinct().coalesce(parts)))
+    # of groups that stay apart: the prefix of a class of the one is counted in the token union of the other
+    matrix = unions(grouped.join(_sized(stored(asks.select(F.col("gb").alias("g")).distinct().coalesce(parts))), "g", "left_semi")).withColumnRenamed("g", "gb")
+    queries = tokens.select("token", F.col("class").alias("x"), F.col("n").alias("nx")).join(asks, "x")
+    met = queries.join(matrix, ["token", "gb"]).where(f"low <= nx AND high * {DENOM} >= nx * {NUMER}").groupBy("x", "nx", "gb").agg(F.count("*").alias("met"))
+    opened = _sized(stored(met.where(F.col("met") >= 1 + F.floor(F.col("nx") / 8)).select("x", "gb").coalesce(parts)))  # as least_met has it
     # qualifying groups are opened: their members meet the query in prefix shingles
-    long = tokens.where("long").select("token", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
     short = tokens.where("short").select("token", F.col("g").alias("gb"), F.col("class").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"))
-    # position bound: the shingles from the meeting place on must suffice for the overlap needed
     enough = f"least(nx - ax, ny - ay) * {NUMER + DENOM} >= {NUMER} * (nx + ny)"
-    fit = long.join(_sized(apart), "x").join(short, ["token", "gb"]).where(f"x != y AND ny <= nx AND ny * {DENOM} >= nx * {NUMER} AND {enough}")
+    fit = long.join(opened, "x").join(short, ["token", "gb"]).where(f"x != y AND ny <= nx AND ny * {DENOM} >= nx * {NUMER} AND {enough}")
     candidates = stored(fit.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return by_pivot.unionByName(verified(candidates, shared))
 
