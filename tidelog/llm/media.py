@@ -226,12 +226,16 @@ def resolve(sequenced: DataFrame, store: DataFrame, keep: tuple[str, ...] = ("pa
     most = max(HOT_REFS, math.ceil(refs.count() / HOT_DIGESTS))
     hot = refs.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > most)
     hot = F.broadcast(durable(hot.select("digest", F.ceil(F.col("n") / most).cast("int").alias("parts"))))
-    parts = F.coalesce("parts", F.lit(1))
     # the references are a stored table, so a row has the same number whenever it is read
-    dealt = refs.where("digest IS NOT NULL").withColumn("row", F.monotonically_increasing_id()).join(hot, "digest", "left").withColumn("part", F.pmod("row", parts).cast("int")).drop("row", "parts")
-    single = store.where("digest IS NOT NULL").groupBy("digest").agg(F.first("media").alias("media")).join(hot, "digest", "left")
-    single = single.select("digest", "media", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    found = dealt.join(single, ["digest", "part"], "left").drop("part")
+    keyed = refs.where("digest IS NOT NULL").withColumn("row", F.monotonically_increasing_id()).join(hot, "digest", "left")
+    known = store.where("digest IS NOT NULL")
+    # media are moved once: what brings the rows of a digest together serves the join, too
+    single = known.join(hot, "digest", "left_anti").groupBy("digest").agg(F.first("media").alias("media"))
+    found = keyed.where("parts IS NULL").drop("row", "parts").join(single, "digest", "left")
+    spread = known.join(hot, "digest").groupBy("digest", "parts").agg(F.first("media").alias("media"))
+    spread = spread.select("digest", "media", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = keyed.where("parts IS NOT NULL").withColumn("part", F.pmod("row", "parts").cast("int")).drop("row", "parts")
+    found = found.unionByName(dealt.join(spread, ["digest", "part"], "left").drop("part"))
     rest = refs.where("digest IS NULL").withColumn("media", F.lit(None).cast("binary"))
     return found.unionByName(rest).select(*[F.col(f"kept.`{c}`").alias(c) for c in keep], *_RESOLVED)
 
