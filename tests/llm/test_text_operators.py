@@ -508,6 +508,28 @@ def test_language_sample_takes_hot_and_null_keys_and_every_label(spark):
     assert len(langid.train(spark.createDataFrame(many + [(None, None, "no")], columns))["names"]) == 260
 
 
+def test_language_sample_stays_off_the_driver(spark):
+    """The driver holds the model alone, and it is the one that the whole sample in order of label and features gives."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(5)
+    rows = [(i, "".join(chr(c) for c in rnd.integers(97, 123, 60) + i % 2 * 160), "ab"[i % 2]) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(4).cache()
+    langid.train(docs.limit(4))
+    tracemalloc.start()
+    try:
+        model = langid.train(docs)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 3_000_000  # the sample has 13 MB
+    both = [(g, f.astype(np.float16).tobytes()) for _, t, g in rows for f in langid.features([t, t[30:110]])]
+    x = np.array([np.frombuffer(f, np.float16) for _, f in sorted(both)])
+    want = langid.fit(x, np.array([g == "b" for g, _ in sorted(both)]).astype(int), 2)
+    assert model["names"] == ["a", "b"] and all(np.allclose(model[k], want[k], atol=1e-4) for k in ("w", "b", "bit", "code"))
+    assert abs(model["far"] - langid.far_from(want, x)) < 1e-4
+
+
 def test_decoding_against_brute_force():
     """Loss-weighted decoding, codeword by codeword and bit by bit."""
     import math

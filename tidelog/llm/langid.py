@@ -8,20 +8,23 @@ rejects texts that are far from every codeword.
 from __future__ import annotations
 
 import itertools
+import pickle
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import crc_mod, exact_sample, map_text, table
+from tidelog.llm.common import crc_mod, exact_sample, map_text, release, table
 
 #: Hashed features of a text.
 DIMS = 4096
 #: Training rows for each language at most (the bounded sample that is fitted), and for all of them together: above 10
-#: languages each has its part of these, so that every language is learned and the driver holds 131 MB of features at
-#: most (two rows of DIMS half-precision numbers for each text).
+#: languages each has its part of these, so that every language is learned and the task that fits holds 131 MB of features
+#: at most (two rows of DIMS half-precision numbers for each text).
 SAMPLE, SAMPLE_TOTAL = 800, 8_000
 #: Difference of the two best codewords' shares below which a text is ambiguous.
 AMBIGUOUS = 0.1
@@ -81,7 +84,7 @@ def fit(x: np.ndarray, y: np.ndarray, k: int, steps: int = 200, rate: float = 4.
     weight = (weight / weight.sum()).astype(np.float32)[:, None]
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
-    # rows are half precision and are widened block by block, so the driver holds the sample once
+    # rows are half precision and are widened block by block, so the sample is held once
     blocks = [slice(a, a + 512) for a in range(0, len(x), 512)]
     for _ in range(steps):
         gw, gb = ridge * w, np.zeros_like(b)
@@ -118,10 +121,29 @@ def far_from(model: dict, x: np.ndarray) -> float:
     return max(FAR, float(np.quantile(np.concatenate(seen), NEAR_SHARE)))
 
 
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of all rows (x, y), sorted by label and features; none where there is no row. The rows are held once."""
+    held, label = bytearray(), []
+    for batch in batches:
+        held += b"".join(batch.column("x").to_pylist())
+        label += batch.column("y").to_pylist()
+    if label:
+        names = sorted(set(label))
+        number = {n: i for i, n in enumerate(names)}
+        x, y = np.frombuffer(held, np.float16).reshape(-1, DIMS), np.array([number[n] for n in label], int)
+        model = fit(x, y, len(names))
+        model = {"names": names} | model | {"far": far_from(model, x)}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        del x
+    del held
+    release()
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> dict:
     """Fit on ``sample`` different rows of each language at most, chosen by a hash of key and text; whole texts are read.
 
     Every language is learned, however many there are (``SAMPLE_TOTAL``); null and hot keys are drawn like others.
+    One task fits the sample, in the order of label and features; the driver gets the model alone.
     """
     rows = exact_sample(labelled.where(F.col(text).rlike(r"\p{L}")), key, text, lang, sample, SAMPLE_TOTAL)
 
@@ -140,20 +162,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
         return apply
 
-    found = map_text(rows, text, [], [("x", T.BinaryType()), ("y", T.StringType())], make, also=(lang,), rows=True).toArrow()
-    label, rank = found.column("y").to_pylist(), found.column("x").to_pylist()
-    del found
-    order = sorted(range(len(label)), key=lambda i: (label[i], rank[i]))
-    names = sorted(set(label))
-    if not names:
-        return {"names": names}
-    number = {n: i for i, n in enumerate(names)}
-    y = np.array([number[label[i]] for i in order], int)
-    x = np.empty((len(order), DIMS), np.float16)
-    for at, i in enumerate(order):
-        x[at], rank[i] = np.frombuffer(rank[i], np.float16), None
-    model = fit(x, y, len(names))
-    return {"names": names} | model | {"far": far_from(model, x)}
+    found = map_text(rows, text, [], [("x", T.BinaryType()), ("y", T.StringType())], make, also=(lang,), rows=True)
+    got = found.repartition(1).sortWithinPartitions("y", "x").mapInArrow(_learn, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else {"names": []}
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
