@@ -378,6 +378,23 @@ def test_bloom_filters_are_sized_by_rows_and_prune(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_many_generations_share_folders(spark, tmp_path):
+    import glob
+
+    root = str(tmp_path / "store")
+    some = log(spark, [(i, i // 4, 0, i % 2, "DEL" if i % 7 == 6 else "PUT", f"k{i % 6}", None if i % 7 == 6 else f"v{i}") for i in range(800)])
+    storage.checkpoint(storage.run_of(some), root)
+    assert len(glob.glob(f"{root}/*/*/*.parquet")) <= 2 * storage.FOLDERS  # of 200 generations of two owners
+    store = storage.open_store(spark, root)
+    whole = ["gen", "owner", "key", "tombstone", "value"]
+    assert sorted(map(repr, store.select(whole).collect())) == sorted(map(repr, storage.run_of(some).select(whole).collect()))
+    assert storage.highest_generation(store) == 199 and store.where("gen = 150").count() == 4
+    assert storage.flush(some, root) == 199 and storage.open_store(spark, root).count() == 800  # nothing is written twice
+    assert storage.read_key(store, "k1", 1).first()["value"] == "v799"
+    storage.run_of(log(spark, [(900, 500, 0, 1, "DEL", "k1", None)])).write.partitionBy("gen", "owner").mode("append").parquet(root)
+    assert storage.read_key(storage.open_store(spark, root), "k1", 1).first()["gen"] == 500  # files without a row's own generation
+
+
 def test_flush_close_and_reopen(spark, tmp_path):
     root = str(tmp_path / "store")
     some = log(spark, [(i, i // 4, 0, 0, "DEL" if i % 5 == 4 else "PUT", f"k{i % 3}", None if i % 5 == 4 else f"v{i}") for i in range(12)])

@@ -15,25 +15,46 @@ def run_of(log: DataFrame, gen: str = "epoch") -> DataFrame:
     return last.select("gen", "w.owner", "key", (F.col("w.op") == "DEL").alias("tombstone"), F.when(F.col("w.op") == "PUT", F.col("w.value")).alias("value"))
 
 
+#: Folders for each owner that one checkpoint writes, at most: a folder costs the same however little it holds.
+FOLDERS = 32
+
+
+def _folders(runs: DataFrame) -> list[int]:
+    """The newest generation of each folder: every generation up to ``FOLDERS`` of them, else quantiles by rows."""
+    known = runs.where("gen IS NOT NULL")
+    few = [r["gen"] for r in known.select("gen").distinct().orderBy("gen").limit(FOLDERS + 1).collect()]
+    if len(few) <= FOLDERS:
+        return few
+    r = known.agg(F.percentile_approx("gen", [i / FOLDERS for i in range(1, FOLDERS)]).alias("parts"), F.max("gen").alias("last")).first()
+    return sorted({*r["parts"], r["last"]})
+
+
 def checkpoint(runs: DataFrame, root: str, mode: str = "append") -> None:
     """Write generations: a folder for each gen and owner, sorted by key, with a Bloom filter on the key.
 
-    Empty generations write nothing. A filter is sized for the rows of its file, up to the next power of two: files are
-    counted, and those of one size class are written together.
+    Of more than ``FOLDERS`` generations, consecutive ones share a folder, which is called by the newest that it may
+    hold; ``run`` is a row's own. Empty generations write nothing. A filter is sized for the rows of its file, up to the
+    next power of two: files are counted, and those of one size class are written together.
     """
     runs = durable(runs)
+    newest_of = _folders(runs)
+    if not newest_of:
+        return
+    folder = F.coalesce(*[F.when(F.col("gen") <= g, F.lit(g)) for g in newest_of]).cast("bigint")
+    runs = runs.select(folder.alias("gen"), "owner", "key", "tombstone", "value", F.col("gen").cast("bigint").alias("run"))
     files = runs.groupBy("gen", "owner").agg(F.count("*").alias("n"))
     files = durable(files.withColumn("size_class", F.ceil(F.log2(F.greatest("n", F.lit(2)))).cast("int")).drop("n"))
     for i, r in enumerate(files.select("size_class").distinct().orderBy("size_class").collect()):
-        some = runs.join(files.where(F.col("size_class") == r["size_class"]).drop("size_class"), ["gen", "owner"], "left_semi")
-        dealt = some.repartition("gen", "owner").sortWithinPartitions("gen", "owner", "key")
+        some = runs.join(F.broadcast(files.where(F.col("size_class") == r["size_class"]).drop("size_class")), ["gen", "owner"], "left_semi")
+        dealt = some.repartition("gen", "owner").sortWithinPartitions("gen", "owner", "key", "run")
         out = dealt.write.mode(mode if i == 0 else "append").option("parquet.enable.dictionary", "false").partitionBy("gen", "owner")
         out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(1 << r["size_class"])).parquet(root)
 
 
 def open_store(spark: SparkSession, root: str) -> DataFrame:
-    """All generations under ``root``."""
-    return spark.read.parquet(root)
+    """All generations under ``root``; files without ``run`` hold their folder's generation alone."""
+    found = spark.read.schema("key string, tombstone boolean, value string, run bigint, gen bigint, owner int").parquet(root)
+    return found.select("key", "tombstone", "value", F.coalesce("run", "gen").alias("gen"), "owner")
 
 
 def highest_generation(store: DataFrame) -> int:
