@@ -301,6 +301,64 @@ def test_streams_equal_the_batch(spark, tmp_path):
     assert {r["owner"]: (r["reads"], r["hits"]) for r in streams.stream_lru(spark, d).collect()} == batch
 
 
+class CountedState:
+    """A map state and a value state of a stream, and the calls on them."""
+
+    def __init__(self):
+        self.entries, self.calls = {}, 0
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def getValueState(self, *_):  # noqa: N802
+        return CountedState()
+
+    def exists(self):
+        return None in self.entries
+
+    def get(self):
+        return self.entries[None]
+
+    def update(self, value):
+        self.entries[None] = value
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return key in self.entries
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.entries.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self.entries[key] = value
+
+
+def test_stream_touches_the_state_of_a_key_once_a_batch():
+    import pandas as pd
+
+    rng, held, cache = random.Random(5), {}, folds.LRUCache(40)
+    map_state, reads = CountedState(), streams.CachedReads(40)
+    reads.init(map_state)
+    for batch in range(3):
+        rows = [(batch * 2000 + i, rng.choice(["PUT", "DEL", "GET", "GET"]), f"k{rng.randrange(12)}", "v" * rng.randrange(9)) for i in range(2000)]
+        want = []
+        for seq, op, key, value in rows:
+            below, n = held.get(key, (None, 0))
+            found = folds.through_cache(cache, op, key.encode(), below, n)
+            if op != "GET":
+                held[key] = (op, len(value) if op == "PUT" else 0)
+            if found is not None:
+                want.append((0, seq, *found))
+        rng.shuffle(rows)
+        df = pd.DataFrame(rows, columns=["seq", "op", "key", "value"])
+        df["n"] = [len(v) if op == "PUT" else 0 for op, v in zip(df["op"], df["value"])]
+        got = reads.handleInputRows((0,), iter([df[:700], df[700:]]), None)
+        assert [r for frame in got for r in frame.itertuples(index=False, name=None)] == want
+    assert map_state.calls <= 3 * 3 * 12  # it was several for each row
+
+
 def test_codec_roundtrip_over_the_whole_range(spark):
     x = spark.range(500000).withColumn("code", hashing.encode_int(F.col("id")))
     bad = x.where(~hashing.decode_int(F.col("code")).eqNullSafe(F.col("id")) | (F.length("code") != 8) | F.col("code").isNull())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,11 +67,16 @@ READS = "owner int, seq bigint, status string, hit boolean"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Reads of a frame that goes out.
+FRAME = 100_000
+
+
 class CachedReads(StatefulProcessor):
     """Reads of an owner through its byte-bounded cache.
 
     The last write of each key is an entry of a map state, so a micro-batch loads only the keys it touches; the cache,
-    which its limit bounds, is a value of its own.
+    which its limit bounds, is a value of its own. Within a micro-batch a key's entry is read once at most and written once
+    at most; of its rows some 30 bytes each are held, to be put in order, and each key once.
     """
 
     def __init__(self, limit: int):
@@ -82,19 +88,35 @@ class CachedReads(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         cache = pickle.loads(self.cached.get()[0]) if self.cached.exists() else LRUCache(self.limit)
-        batch = pd.concat(list(rows)).sort_values("seq")
-        out = []
-        for seq, op, k, value in zip(batch["seq"], batch["op"], batch["key"], batch["value"]):
-            below, n = None, 0
-            if op != "GET":
-                self.last.updateValue((k,), (op, len(value.encode()) if op == "PUT" and value is not None else 0))
-            elif cache.get(k.encode()) is None and self.last.containsKey((k,)):
-                below, n = self.last.getValue((k,))
-            found = through_cache(cache, op, k.encode(), below, n)
-            if found is not None:
-                out.append((key[0], seq, *found))
+        ids, ops, parts = {}, {}, []
+        for part in rows:
+            at = np.fromiter((ids.setdefault(k, len(ids)) for k in part["key"]), np.int32, len(part))
+            op = np.fromiter((ops.setdefault(o, len(ops)) for o in part["op"]), np.int8, len(part))
+            parts.append((part["seq"].to_numpy(), op, at, part["n"].to_numpy()))
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        del parts
+        order = np.argsort(columns[0], kind="stable")
+        keys, names, kinds = list(ids), [k.encode() for k in ids], list(ops)
+        last, written, out = {}, set(), []
+        for begin in range(0, len(order), FRAME):
+            some = order[begin : begin + FRAME]
+            for seq, o, i, n in zip(*(c[some].tolist() for c in columns)):
+                op, name, below, length = kinds[o], names[i], None, 0
+                if op != "GET":
+                    last[i] = (op, n)
+                    written.add(i)
+                elif cache.get(name) is None:
+                    if i not in last:
+                        last[i] = self.last.getValue((keys[i],)) if self.last.containsKey((keys[i],)) else (None, 0)
+                    below, length = last[i]
+                found = through_cache(cache, op, name, below, length)
+                if found is not None:
+                    out.append((key[0], seq, *found))
+            yield pd.DataFrame(out, columns=["owner", "seq", "status", "hit"])
+            out = []
+        for i in written:
+            self.last.updateValue((keys[i],), last[i])
         self.cached.update((pickle.dumps(cache),))
-        yield pd.DataFrame(out, columns=["owner", "seq", "status", "hit"])
 
     def close(self) -> None:
         pass
@@ -102,7 +124,8 @@ class CachedReads(StatefulProcessor):
 
 def lru_stream(log: DataFrame, limit: int = 1000) -> DataFrame:
     """Reads of a log stream through each owner's byte-bounded cache. It needs the state store ``ROCKSDB``."""
-    dealt = log.select("owner", "seq", "op", "key", "value").groupBy("owner")
+    length = F.when((F.col("op") == "PUT") & F.col("value").isNotNull(), F.octet_length("value")).otherwise(0).cast("bigint")
+    dealt = log.select("owner", "seq", "op", "key", length.alias("n")).groupBy("owner")
     return dealt.transformWithStateInPandas(CachedReads(limit), READS, "Append", "None")
 
 
