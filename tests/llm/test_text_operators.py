@@ -72,6 +72,22 @@ def test_pii_base(spark, hard):
                 assert set(want) <= {tuple(x) for x in r["spans"]}
 
 
+def test_pii_searches_only_texts_that_can_match(spark, hard):
+    from tidelog.llm.common import with_spans
+
+    rng = random.Random(3)
+    some = [("".join(rng.choice("ab1+@. -(") for _ in range(rng.randrange(30))),) for _ in range(2000)]
+    df = hard.where("length(text) < 90000 OR text IS NULL").select("text").union(spark.createDataFrame([*some, ("plain words",), (None,)], "text string"))
+    patterns = {**pii.PATTERNS, "near": pii.IDENTIFIER}
+    for kind, pattern in patterns.items():
+        bare = with_spans(df, "text", "s", pattern).where(F.size("s") > 0)
+        assert bare.count() > 0 and bare.where(~F.coalesce(pii._may_match(kind, "text"), F.lit(False))).count() == 0
+    plain = df.where("text = 'plain words'")
+    assert plain.where(pii._may_match("near", "text") | pii._may_match("phone", "text") | pii._may_match("ip", "text")).count() == 0
+    # what doesn't fulfil the condition isn't searched
+    assert with_spans(df.where("text LIKE '%@%'"), "text", "s", "@", where=F.lit(False)).where(F.size("s") > 0).count() == 0
+
+
 def test_pii_query(spark):
     got = {r["doc_id"]: r for r in pii.op1_pii(spark, SF).collect()}
     want = texts()

@@ -168,12 +168,13 @@ def exact_sample(df: DataFrame, key: str, text: str, label: str, most: int, tota
     return rows.join(drawn, [label, "__spot"]).groupBy(label, "__spot").agg(F.first(text).alias(text)).select(text, label)
 
 
-def with_spans(df: DataFrame, text: str, out: str, pattern: str, valid: Callable[[Column], Column] | None = None, group: int = 0, context: int = 0) -> DataFrame:
+def with_spans(df: DataFrame, text: str, out: str, pattern: str, valid: Callable[[Column], Column] | None = None, group: int = 0, context: int = 0, where: Column | None = None) -> DataFrame:
     """A column of all matches of a Java pattern: array<struct<s, e, m, g, left, right>>, by SQL functions only.
 
     ``s`` and ``e`` are code points, the end exclusive; ``g`` is the group asked for; ``left`` and ``right`` are up
     to ``context`` code points beside the match, as far as its neighbours of the same pattern. ``valid`` tells from
-    ``m`` and ``g`` which matches stay. Null texts have none. Positions are running sums over the lengths of the
+    ``m`` and ``g`` which matches stay. ``where`` is a cheap condition that holds for every text with a match; others
+    aren't searched. Null texts have none. Positions are running sums over the lengths of the
     pieces between matches and of the matches, in blocks of 256, so a text with very many matches stays cheap.
     The steps are columns of their own: inside one expression the searches would run again and again.
     """
@@ -202,7 +203,8 @@ def with_spans(df: DataFrame, text: str, out: str, pattern: str, valid: Callable
         )
 
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn(f"__{out}_m", F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    every = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    df = df.withColumn(f"__{out}_m", every if where is None else F.when(where, every).otherwise(F.array().cast("array<string>")))
     df = df.withColumn(f"__{out}_p", F.when(n > 0, F.split(t, pattern, -1)))
     df = df.withColumn(f"__{out}_g", F.when(n > 0, F.regexp_extract_all(t, F.lit(pattern), F.lit(group))) if group else found)
     lengths = F.zip_with(F.slice(pieces, 1, n), found, lambda p, m: (F.length(p) + F.length(m)).cast("bigint"))

@@ -33,6 +33,13 @@ PATTERNS = {
 IDENTIFIER = r"(?<![A-Za-z0-9._%+@-])(?:(?=[0-9.+-]*+[A-Za-z_%@])[0-9][A-Za-z0-9._%+@-]*+|\+?[0-9](?:[.-]*+[0-9]|[.-]*+[\x20()][\x20().-]*+(?![0-9.+-]*+[A-Za-z_%@])[0-9])*+[A-Za-z_%@+]?+|(?=[A-Za-z._%-]*+[0-9@])[A-Za-z][A-Za-z0-9._%+@-]*+)"
 
 
+def _may_match(kind: str, text: str) -> Column:
+    """What every text with a match of a base pattern, or with an identifier-like string (near), has in it; most have not."""
+    t = F.col(text)
+    mark = {"email": F.contains(t, F.lit("@")), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9]"), "phone": F.contains(t, F.lit("+"))}
+    return mark[kind] if kind in mark else mark["email"] | mark["card"]
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -66,7 +73,7 @@ def _valid(kind: str):
 def base_spans(docs: DataFrame, text: str) -> DataFrame:
     """Columns email, ip, card and phone: the valid matches of each base pattern in the whole text."""
     for kind in KINDS:
-        docs = with_spans(docs, text, kind, PATTERNS[kind], None if kind == "email" else _valid(kind))
+        docs = with_spans(docs, text, kind, PATTERNS[kind], None if kind == "email" else _valid(kind), where=_may_match(kind, text))
     return docs
 
 
@@ -93,7 +100,7 @@ def scan(docs: DataFrame, text: str) -> DataFrame:
         return ~x["m"].rlike(r"^\+.*[A-Za-z_%@+]$|^[^A-Za-z_%@]*\+$")
 
     out = base_spans(docs, text)
-    out = with_spans(out, text, "near", IDENTIFIER, kept, context=CONTEXT)
+    out = with_spans(out, text, "near", IDENTIFIER, kept, context=CONTEXT, where=_may_match("near", text))
     slim = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))
     out = out.withColumns({k: F.transform(k, slim) for k in KINDS})
     # a full stop or hyphen at the end of a word belongs to the sentence
